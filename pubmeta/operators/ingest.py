@@ -151,7 +151,7 @@ def build_outbox_rows(versions: DataFrame, now: Column, topic: str = UPLOAD_TOPI
         F.lit(topic).alias("topic"),
         F.col("paper_id").cast("string").alias("key"),
         F.lit(UPLOAD_EVENT_TYPE).alias("type"),
-        F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"),
+        F.to_json(payload, {"ignoreNullFields": "false", "timeZone": "UTC"}).alias("payload"),
         F.lit(PENDING).alias("status"),
         F.lit(0).alias("retry_count"),
         F.lit(None).cast("string").alias("last_error"),

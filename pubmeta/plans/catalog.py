@@ -6,7 +6,7 @@ import importlib
 
 from pubmeta.plans.base import QUERIES, Query
 
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "ingest_queries", "quality_queries")
 
 
 def catalog() -> dict[str, Query]:
