@@ -6,7 +6,14 @@ import importlib
 
 from pubmeta.plans.base import QUERIES, Query
 
-MODULES = ("text_queries", "ingest_queries", "quality_queries")
+MODULES = (
+    "text_queries",
+    "ingest_queries",
+    "biblio_queries",
+    "ocr_queries",
+    "access_queries",
+    "quality_queries",
+)
 
 
 def catalog() -> dict[str, Query]:
