@@ -10,6 +10,7 @@ MODULES = (
     "text_queries",
     "ingest_queries",
     "biblio_queries",
+    "tei_queries",
     "ocr_queries",
     "access_queries",
     "quality_queries",
