@@ -16,7 +16,6 @@ from pubmeta.functions.text import (
     attr_equals,
     extract_doi,
     format_pages,
-    join_non_empty,
     mentions_acm,
     normalize_arxiv,
     normalize_doi,
@@ -63,7 +62,8 @@ def _names(pers: Column) -> tuple[Column, Column, Column]:
 
 
 def _full_name(pers: Column) -> Column:
-    return F.coalesce(join_non_empty(*_names(pers)), pers["text"])
+    """Parsed names are trimmed already, and NULL when blank."""
+    return F.coalesce(F.nullif(F.concat_ws(" ", *_names(pers)), F.lit("")), pers["text"])
 
 
 def person(author: Column) -> Column:

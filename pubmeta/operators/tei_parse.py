@@ -23,6 +23,10 @@ from pubmeta.schemas import INVALID_TEI, struct_type
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NS = "{http://www.tei-c.org/ns/1.0}"
+ADDRESS_PARTS = {NS + name for name in ("addrLine", "settlement", "region", "country")}
+
+# Parsed documents held as Python objects at one time.
+DOCUMENTS_PER_STEP = 128
 
 _TITLE = "STRUCT<level: STRING, text: STRING>"
 _IDNO = "STRUCT<type: STRING, text: STRING>"
@@ -48,75 +52,86 @@ RAW_DDL = (
 )
 
 
-def _text(el: ET.Element) -> str | None:
-    return " ".join("".join(el.itertext()).split()) or None
+def _text(el: ET.Element | None) -> str | None:
+    if el is None:
+        return None
+    text = "".join(el.itertext()) if len(el) else el.text
+    return (" ".join(text.split()) or None) if text else None
 
 
-def _find(el: ET.Element | None, path: str) -> list[ET.Element]:
-    """Matches of a path of plain names below ``el``, each node once, in document order."""
-    if el is None:
-        return []
-    steps = [NS + s if s else s for s in path.split("/")]
-    found = el.findall("./" + "/".join(steps))
-    return list(dict.fromkeys(found))
+def _children(el: ET.Element | None, name: str) -> list[ET.Element]:
+    return [] if el is None else el.findall(NS + name)
 
 
-def _texts(el: ET.Element | None, path: str) -> list[str | None]:
-    return [_text(x) for x in _find(el, path)]
+def _child(el: ET.Element | None, name: str) -> ET.Element | None:
+    return None if el is None else el.find(NS + name)
 
 
-def _nodes(el: ET.Element | None, path: str, *attrs: tuple[str, str]) -> list[dict]:
-    return [
-        {"text": _text(x), **{column: x.get(attr) for column, attr in attrs}} for x in _find(el, path)
-    ]
+def _below(el: ET.Element | None, *names: str) -> list[ET.Element]:
+    """Elements reached by going down to each name in turn, once each, in document order."""
+    found = [] if el is None else [x for x in el.iter(NS + names[0]) if x is not el]
+    for name in names[1:]:
+        tag = NS + name
+        found = list(dict.fromkeys(x for up in found for x in up.iter(tag) if x is not up))
+    return found
 
 
-def _first(el: ET.Element | None, path: str) -> ET.Element | None:
-    return next(iter(_find(el, path)), None)
+def _texts(elements: list[ET.Element]) -> list[str | None]:
+    return [_text(x) for x in elements]
 
 
-ADDRESS_PARTS = {NS + name for name in ("addrLine", "settlement", "region", "country")}
+def _titles(parent: ET.Element | None) -> list[dict]:
+    return [{"level": x.get("level"), "text": _text(x)} for x in _children(parent, "title")]
+
+
+def _idnos(elements: list[ET.Element]) -> list[dict]:
+    return [{"type": x.get("type"), "text": _text(x)} for x in elements]
+
+
+def _imprint(monogr: ET.Element | None) -> dict:
+    """Publishers, dates and scopes anywhere below ``monogr``."""
+    scopes = [
+        {"unit": x.get("unit"), "text": _text(x), "first": x.get("from"), "last": x.get("to")}
+        for x in _below(monogr, "biblScope")
+    ]
+    dates = [{"when": x.get("when"), "text": _text(x)} for x in _below(monogr, "date")]
+    return {"publishers": _texts(_below(monogr, "publisher")), "dates": dates, "scopes": scopes}
 
 
 def _affiliation(aff: ET.Element) -> dict:
-    address = _first(aff, "address")
+    address = _child(aff, "address")
     parts = [] if address is None else [_text(x) for x in address if x.tag in ADDRESS_PARTS]
-    return {"orgs": [t for t in _texts(aff, "orgName") if t], "addr": [t for t in parts if t], "text": _text(aff)}
+    orgs = _texts(_children(aff, "orgName"))
+    return {"orgs": [t for t in orgs if t], "addr": [t for t in parts if t], "text": _text(aff)}
 
 
 def _author(author: ET.Element) -> dict:
-    pers, email = _first(author, "persName"), _first(author, "/email")
-    surname = _first(pers, "surname")
+    pers = _child(author, "persName")
+    named = None
+    if pers is not None:
+        named = {
+            "text": _text(pers),
+            "forenames": [{"type": x.get("type"), "text": _text(x)} for x in _children(pers, "forename")],
+            "surname": _text(_child(pers, "surname")),
+        }
     return {
         "role": author.get("role"),
         "corresp": author.get("corresp"),
-        "pers": None
-        if pers is None
-        else {
-            "text": _text(pers),
-            "forenames": _nodes(pers, "forename", ("type", "type")),
-            "surname": None if surname is None else _text(surname),
-        },
-        "email": None if email is None else _text(email),
-        "affs": [_affiliation(a) for a in _find(author, "affiliation")],
+        "pers": named,
+        "email": _text(next(author.iter(NS + "email"), None)),
+        "affs": [_affiliation(a) for a in _children(author, "affiliation")],
     }
 
 
-def _scopes(monogr: ET.Element | None) -> list[dict]:
-    return _nodes(monogr, "/biblScope", ("unit", "unit"), ("first", "from"), ("last", "to"))
-
-
 def _reference(bibl: ET.Element) -> dict:
-    analytic, monogr = _first(bibl, "analytic"), _first(bibl, "monogr")
+    analytic, monogr = _child(bibl, "analytic"), _child(bibl, "monogr")
     return {
         "text": _text(bibl),
-        "analytic_titles": _nodes(analytic, "title", ("level", "level")),
-        "authors": [_author(a) for a in _find(analytic, "author")],
-        "monogr_titles": _nodes(monogr, "title", ("level", "level")),
-        "publishers": _texts(monogr, "/publisher"),
-        "idnos": _nodes(bibl, "/idno", ("type", "type")),
-        "dates": _nodes(monogr, "/date", ("when", "when")),
-        "scopes": _scopes(monogr),
+        "analytic_titles": _titles(analytic),
+        "authors": [_author(a) for a in _children(analytic, "author")],
+        "monogr_titles": _titles(monogr),
+        "idnos": _idnos(_below(bibl, "idno")),
+        **_imprint(monogr),
     }
 
 
@@ -128,28 +143,29 @@ def parse_document(xml: str | None, references: bool = True) -> dict:
         root = ET.fromstring(xml)
     except (ET.ParseError, ValueError) as problem:
         return {"err": str(problem) or INVALID_TEI}
-    file_desc = _first(root, "/fileDesc")
-    source_desc = _first(file_desc, "sourceDesc")
-    bibl = _first(source_desc, "/biblStruct")
-    analytic, monogr = _first(bibl, "analytic"), _first(bibl, "monogr")
+    file_desc = next(iter(_below(root, "fileDesc")), None)
+    source_desc = _child(file_desc, "sourceDesc")
+    bibl = next(iter(_below(source_desc, "biblStruct")), None)
+    analytic, monogr = _child(bibl, "analytic"), _child(bibl, "monogr")
+    imprint = _imprint(monogr)
     return {
         "all_text": _text(root),
-        "analytic_titles": _nodes(analytic, "title", ("level", "level")),
-        "titlestmt_titles": _texts(file_desc, "/titleStmt/title"),
-        "pubstmt_titles": _texts(file_desc, "/publicationStmt//title"),
-        "sourcedesc_titles": _nodes(source_desc, "/title", ("level", "level")),
-        "monogr_titles": _nodes(monogr, "title", ("level", "level")),
-        "meetings": _texts(monogr, "/meeting"),
-        "idnos_analytic": _nodes(analytic, "idno", ("type", "type")),
-        "idnos_bibl": _nodes(bibl, "/idno", ("type", "type")),
-        "pubstmt_publishers": _texts(file_desc, "/publicationStmt//publisher"),
-        "monogr_publishers": _texts(monogr, "/publisher"),
-        "dates": _nodes(monogr, "/date", ("when", "when")),
-        "scopes": _scopes(monogr),
-        "abstracts": _texts(root, "/profileDesc//abstract"),
-        "terms": _texts(root, "/textClass//keywords//term"),
-        "authors": [_author(a) for a in _find(analytic, "author")],
-        "refs": [_reference(b) for b in _find(root, "/listBibl//biblStruct")] if references else [],
+        "analytic_titles": _titles(analytic),
+        "titlestmt_titles": _texts([t for stmt in _below(file_desc, "titleStmt") for t in _children(stmt, "title")]),
+        "pubstmt_titles": _texts(_below(file_desc, "publicationStmt", "title")),
+        "sourcedesc_titles": [{"level": x.get("level"), "text": _text(x)} for x in _below(source_desc, "title")],
+        "monogr_titles": _titles(monogr),
+        "meetings": _texts(_below(monogr, "meeting")),
+        "idnos_analytic": _idnos(_children(analytic, "idno")),
+        "idnos_bibl": _idnos(_below(bibl, "idno")),
+        "pubstmt_publishers": _texts(_below(file_desc, "publicationStmt", "publisher")),
+        "monogr_publishers": imprint["publishers"],
+        "dates": imprint["dates"],
+        "scopes": imprint["scopes"],
+        "abstracts": _texts(_below(root, "profileDesc", "abstract")),
+        "terms": _texts(_below(root, "textClass", "keywords", "term")),
+        "authors": [_author(a) for a in _children(analytic, "author")],
+        "refs": [_reference(b) for b in _below(root, "listBibl", "biblStruct")] if references else [],
     }
 
 
@@ -166,8 +182,10 @@ def tei_parse(docs: DataFrame, references: bool = True, keep_xml: bool = False)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_document(xml, references) for xml in batch.column("xml").to_pylist()]
-            arrays = [batch.column(c) for c in columns] + [pa.array(parsed, type=raw_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns + ["raw"])
+            for start in range(0, batch.num_rows, DOCUMENTS_PER_STEP):
+                step = batch.slice(start, DOCUMENTS_PER_STEP)
+                parsed = [parse_document(xml, references) for xml in step.column("xml").to_pylist()]
+                arrays = [step.column(c) for c in columns] + [pa.array(parsed, type=raw_type)]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns + ["raw"])
 
     return docs.select("doc_id", "xml").mapInArrow(parse, schema)

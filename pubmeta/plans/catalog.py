@@ -14,6 +14,7 @@ MODULES = (
     "ocr_queries",
     "access_queries",
     "quality_queries",
+    "event_queries",
 )
 
 
