@@ -25,9 +25,6 @@ from pubmeta.functions.text import (
 from pubmeta.operators.tei_parse import tei_parse
 from pubmeta.schemas import AUTHOR_DDL, COMPLETED, FAILED, INVALID_TEI, MAX_ERROR_LENGTH, METADATA_FIELDS_DDL, struct_type
 
-RAW = F.col("raw")
-
-
 def _at(arr: Column, i: int = 0) -> Column:
     return F.get(arr, F.lit(i))
 
@@ -191,35 +188,36 @@ def reference(ref: Column) -> Column:
 
 def extract_record(parsed: DataFrame) -> DataFrame:
     """``raw`` of each parsed document to the metadata columns plus ``parse_error``."""
+    raw = F.col("raw")
     keep = [c for c in parsed.columns if c != "raw"]
     # The text searches run once per document; later expressions only read their result.
-    searched = parsed.withColumns({"_doi": header_doi(RAW), "_conference": acm_conference(RAW["all_text"])})
+    searched = parsed.withColumns({"_doi": header_doi(raw), "_conference": acm_conference(raw["all_text"])})
     searched = searched.withColumn(
-        "_text_doi", F.when(F.col("_doi").isNull(), normalize_doi(extract_doi(RAW["all_text"])))
+        "_text_doi", F.when(F.col("_doi").isNull(), normalize_doi(extract_doi(raw["all_text"])))
     )
     fields = {
-        "title": title(RAW),
-        "abstract": _at(RAW["abstracts"]),
+        "title": title(raw),
+        "abstract": _at(raw["abstracts"]),
         "doi": F.coalesce("_doi", "_text_doi"),
-        "arxiv_id": arxiv_id(RAW),
-        "journal": journal(RAW),
-        "publisher": publisher(RAW),
-        "venue": venue(RAW, F.col("_conference")),
+        "arxiv_id": arxiv_id(raw),
+        "journal": journal(raw),
+        "publisher": publisher(raw),
+        "venue": venue(raw, F.col("_conference")),
         "conference_name": F.col("_conference"),
-        "publication_year": year(RAW["dates"]),
-        "volume": _text_where(RAW["scopes"], "unit", "volume"),
-        "issue": _text_where(RAW["scopes"], "unit", "issue"),
-        "pages": pages(RAW["scopes"]),
-        "corresponding_author": corresponding_author(RAW["authors"]),
+        "publication_year": year(raw["dates"]),
+        "volume": _text_where(raw["scopes"], "unit", "volume"),
+        "issue": _text_where(raw["scopes"], "unit", "issue"),
+        "pages": pages(raw["scopes"]),
+        "corresponding_author": corresponding_author(raw["authors"]),
         "metadata_source": F.lit("GROBID"),
         "doi_source": F.when(F.col("_doi").isNotNull(), "GROBID").when(F.col("_text_doi").isNotNull(), "REGEX"),
-        "journal_source": F.when(journal(RAW).isNotNull(), "GROBID"),
-        "keywords": split_keywords(RAW["terms"]),
-        "authors": parse_authors(RAW["authors"]),
-        "references": F.transform(RAW["refs"], reference),
+        "journal_source": F.when(journal(raw).isNotNull(), "GROBID"),
+        "keywords": split_keywords(raw["terms"]),
+        "authors": parse_authors(raw["authors"]),
+        "references": F.transform(raw["refs"], reference),
     }
     columns = [fields[f.name].cast(f.dataType).alias(f.name) for f in struct_type(METADATA_FIELDS_DDL)]
-    return searched.select(*keep, *columns, RAW["err"].alias("parse_error"))
+    return searched.select(*keep, *columns, raw["err"].alias("parse_error"))
 
 
 def extract_metadata(docs: DataFrame, references: bool = True, keep_xml: bool = False) -> DataFrame:

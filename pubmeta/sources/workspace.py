@@ -10,16 +10,20 @@ from pyspark.sql import SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_test_folders: dict[str, str] = {}
+
+
 def workspace(spark: SparkSession) -> str:
     """Shared folder named by the session. Only a local test session may go without one."""
     configured = spark.conf.get(SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pubmeta-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if context.applicationId not in _test_folders:
+        _test_folders[context.applicationId] = tempfile.mkdtemp(prefix="pubmeta-")
+    return _test_folders[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
