@@ -6,6 +6,8 @@ the next rule is tried, never the next node.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,16 @@ from pubmeta.functions.text import (
     split_keywords,
 )
 from pubmeta.operators.tei_parse import tei_parse
-from pubmeta.schemas import AUTHOR_DDL, COMPLETED, FAILED, INVALID_TEI, MAX_ERROR_LENGTH, METADATA_FIELDS_DDL, struct_type
+from pubmeta.schemas import (
+    AUTHOR_DDL,
+    COMPLETED,
+    FAILED,
+    INVALID_TEI,
+    MAX_ERROR_LENGTH,
+    METADATA_FIELDS_DDL,
+    struct_type,
+)
+
 
 def _at(arr: Column, i: int = 0) -> Column:
     return F.get(arr, F.lit(i))
@@ -186,21 +197,23 @@ def reference(ref: Column) -> Column:
 # --- the job ----------------------------------------------------------------
 
 
-def extract_record(parsed: DataFrame) -> DataFrame:
-    """``raw`` of each parsed document to the metadata columns plus ``parse_error``."""
+@lru_cache(maxsize=2)
+def _record_columns(application_id: str) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """The rule expressions: text searches, the search that depends on them, the fields.
+
+    Putting them together takes seconds of calls into the JVM, and they are the
+    same for every input, so a streaming job does it once and not per batch.
+    """
     raw = F.col("raw")
-    keep = [c for c in parsed.columns if c != "raw"]
-    # The text searches run once per document; later expressions only read their result.
-    searched = parsed.withColumns({"_doi": header_doi(raw), "_conference": acm_conference(raw["all_text"])})
-    searched = searched.withColumn(
-        "_text_doi", F.when(F.col("_doi").isNull(), normalize_doi(extract_doi(raw["all_text"])))
-    )
+    searches = {"_doi": header_doi(raw), "_conference": acm_conference(raw["all_text"])}
+    fallback = {"_text_doi": F.when(F.col("_doi").isNull(), normalize_doi(extract_doi(raw["all_text"])))}
+    stated_journal = journal(raw)
     fields = {
         "title": title(raw),
         "abstract": _at(raw["abstracts"]),
         "doi": F.coalesce("_doi", "_text_doi"),
         "arxiv_id": arxiv_id(raw),
-        "journal": journal(raw),
+        "journal": stated_journal,
         "publisher": publisher(raw),
         "venue": venue(raw, F.col("_conference")),
         "conference_name": F.col("_conference"),
@@ -211,13 +224,22 @@ def extract_record(parsed: DataFrame) -> DataFrame:
         "corresponding_author": corresponding_author(raw["authors"]),
         "metadata_source": F.lit("GROBID"),
         "doi_source": F.when(F.col("_doi").isNotNull(), "GROBID").when(F.col("_text_doi").isNotNull(), "REGEX"),
-        "journal_source": F.when(journal(raw).isNotNull(), "GROBID"),
+        "journal_source": F.when(stated_journal.isNotNull(), "GROBID"),
         "keywords": split_keywords(raw["terms"]),
         "authors": parse_authors(raw["authors"]),
         "references": F.transform(raw["refs"], reference),
     }
+    return searches, fallback, fields
+
+
+def extract_record(parsed: DataFrame) -> DataFrame:
+    """``raw`` of each parsed document to the metadata columns plus ``parse_error``."""
+    keep = [c for c in parsed.columns if c != "raw"]
+    searches, fallback, fields = _record_columns(parsed.sparkSession.sparkContext.applicationId)
+    # The text searches run once per document; the fields only read their results.
+    searched = parsed.withColumns(searches).withColumns(fallback)
     columns = [fields[f.name].cast(f.dataType).alias(f.name) for f in struct_type(METADATA_FIELDS_DDL)]
-    return searched.select(*keep, *columns, raw["err"].alias("parse_error"))
+    return searched.select(*keep, *columns, F.col("raw.err").alias("parse_error"))
 
 
 def extract_metadata(docs: DataFrame, references: bool = True, keep_xml: bool = False) -> DataFrame:
