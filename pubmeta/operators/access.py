@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pubmeta.functions.blank import is_blank
 from pubmeta.functions.collections import prefix_groups, split_scopes
 from pubmeta.functions.text import normalize_role_name
+from pubmeta.operators.skew import lookup_facts
 from pubmeta.schemas import (
     ADMIN_ROLE_KEPT,
     EMAIL_EXISTS,
@@ -128,7 +129,7 @@ def role_changes(current: DataFrame, target: DataFrame) -> DataFrame:
 
 def missing_permissions(requests: DataFrame, permissions: DataFrame, key: str = "request_id") -> DataFrame:
     """First unknown name of each request ``(key, permissions)``; requests without one are left out."""
-    known = permissions.select("name").distinct()
+    known = permissions.select("name")
     asked = requests.select(key, F.posexplode("permissions").alias("position", "name"))
     unknown = asked.join(known, "name", "left_anti")
     return unknown.groupBy(key).agg(F.min_by("name", "position").alias("missing"))
@@ -137,7 +138,7 @@ def missing_permissions(requests: DataFrame, permissions: DataFrame, key: str =
 def all_ids_exist(requests: DataFrame, known: DataFrame, key: str, ids: str = "role_ids") -> DataFrame:
     """Per request, whether every distinct id of the list is in ``known(id)``."""
     asked = requests.select(key, F.explode_outer(F.array_distinct(ids)).alias("id"))
-    found = known.select("id").distinct().withColumn("_found", F.lit(True))
+    found = known.select("id", F.lit(True).alias("_found"))
     ok = F.bool_and(F.col("id").isNull() | F.coalesce("_found", F.lit(False)))
     return asked.join(found, "id", "left").groupBy(key).agg(ok.alias("all_exist"))
 
@@ -194,9 +195,20 @@ def delete_roles(roles: DataFrame, edges: DataFrame, role_ids: DataFrame) -> tup
 # --- requests ---------------------------------------------------------------
 
 
-def _first_claim(requests: DataFrame, name: str, open_flag: str, key: str) -> DataFrame:
-    """Smallest request id per name among requests that would succeed on their own."""
-    return requests.where(F.col(open_flag)).groupBy(name).agg(F.min(key).alias("_winner"))
+def _name_facts(requests: DataFrame, used: DataFrame, name: str, open_flag: str, key: str) -> DataFrame:
+    """Per requested name: rows, whether it is in use, and the first request acceptable on its own.
+
+    Everything combines on the map side, however many requests share a name.
+    """
+    asked = requests.where(F.col(name).isNotNull()).groupBy(name)
+    facts = asked.agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(F.when(F.col(open_flag), F.col(key))).alias("_winner")
+    )
+    return facts.join(used.select(name, F.lit(True).alias("_used")).distinct(), name, "left")
+
+
+def _taken(key: str) -> Column:
+    return F.coalesce(F.col("_used"), F.col(key) > F.col("_winner"), F.lit(False))
 
 
 def create_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -206,21 +218,16 @@ def create_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame)
     later ones find it in use.
     """
     named = requests.withColumn("role_name", normalize_role_name(F.col("name")))
-    used = roles.select(F.col("name").alias("role_name")).distinct().withColumn("_used", F.lit(True))
-    checked = named.join(used, "role_name", "left").join(
-        missing_permissions(requests, permissions), "request_id", "left"
-    )
-    checked = checked.withColumn(
-        "_open", F.col("role_name").isNotNull() & F.col("_used").isNull() & F.col("missing").isNull()
-    )
-    claims = _first_claim(checked, "role_name", "_open", "request_id")
-    taken = F.coalesce(F.col("_used"), F.col("request_id") > F.col("_winner"), F.lit(False))
+    checked = named.join(missing_permissions(requests, permissions), "request_id", "left")
+    checked = checked.withColumn("_open", F.col("missing").isNull())
+    used = roles.select(F.col("name").alias("role_name"))
+    facts = _name_facts(checked, used, "role_name", "_open", "request_id")
     error = (
         F.when(F.col("role_name").isNull(), F.lit(ROLE_NAME_REQUIRED))
-        .when(taken, F.lit(ROLE_EXISTS))
+        .when(_taken("request_id"), F.lit(ROLE_EXISTS))
         .when(F.col("missing").isNotNull(), F.concat(F.lit(PERMISSION_NOT_FOUND), F.col("missing")))
     )
-    return checked.join(claims, "role_name", "left").select(
+    return lookup_facts(checked, facts, "role_name", "request_id", "_rows").select(
         "request_id", "role_name", "description", "permissions", error.alias("error")
     )
 
@@ -267,14 +274,10 @@ def updated_role_edges(role_permissions: DataFrame, updates: DataFrame, permissi
 
 def create_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """``(request_id, id, full_name, email)`` with ``error``: address in use first, then a blank id."""
-    used = users.select("email").distinct().withColumn("_used", F.lit(True))
-    checked = requests.join(used, "email", "left").withColumn(
-        "_open", F.col("_used").isNull() & ~is_blank(F.col("id"))
-    )
-    claims = _first_claim(checked, "email", "_open", "request_id")
-    taken = F.coalesce(F.col("_used"), F.col("request_id") > F.col("_winner"), F.lit(False))
-    error = F.when(taken, F.lit(EMAIL_EXISTS)).when(is_blank(F.col("id")), F.lit(USER_ID_REQUIRED))
-    return checked.join(claims, "email", "left").select(
+    checked = requests.withColumn("_open", ~is_blank(F.col("id")))
+    facts = _name_facts(checked, users.select("email"), "email", "_open", "request_id")
+    error = F.when(_taken("request_id"), F.lit(EMAIL_EXISTS)).when(is_blank(F.col("id")), F.lit(USER_ID_REQUIRED))
+    return lookup_facts(checked, facts, "email", "request_id", "_rows").select(
         "request_id", "id", "full_name", "email", error.alias("error")
     )
 

@@ -15,8 +15,9 @@ from pubmeta.schemas import EMPTY_MARKDOWN, EMPTY_PDF, INVALID_PDF, MAX_ERROR_LE
 # so no row grows with the length of a document.
 PAGES_PER_PART = 1000
 
-# Page numbers that surely fill an error text of the longest stored length.
-_FAILED_SHOWN = MAX_ERROR_LENGTH // 2
+# The first 1000 different page numbers take 4,891 characters when written as a list,
+# more than an error text keeps.
+_FAILED_SHOWN = 1000
 
 # Content types and markers of the OCR contract.
 OCR_CONTENT_TYPES = ("application/pdf", "application/x-pdf")

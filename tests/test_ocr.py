@@ -59,6 +59,12 @@ def test_long_failure_message_is_cut_not_dropped(spark):
     assert row["error"] == full[:4000]
 
 
+def test_failure_list_is_limited_before_the_shuffle(spark):
+    pages = spark.createDataFrame([(1, 1, "x", None, False)], DDL)
+    plan = O.failed_pages(pages)._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_outcomes(spark):
     docs = spark.createDataFrame(
         [(1, "text/plain", 5), (2, "application/pdf", 0), (3, "application/x-pdf", 5), (4, "application/pdf", 5), (5, "application/pdf", 5), (6, "application/pdf", 5)],

@@ -5,6 +5,7 @@ from pubmeta.operators import access as A
 from pubmeta.operators import ingest as I
 from pubmeta.operators import quality as Q
 from pubmeta.operators import reads as R
+from pubmeta.operators.skew import lookup_facts
 from pubmeta.schemas import TABLES, struct_type
 from pubmeta.sources import readers, sinks
 
@@ -77,6 +78,16 @@ def test_soft_delete_keeps_earlier_deletes(spark):
     assert rows(I.apply_soft_delete(df, ids), "id") == [(1, True), (2, True), (3, False)]
 
 
+def test_hot_keys_are_spread_and_nothing_is_lost(spark):
+    rows_in = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("name"))
+    facts = rows_in.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    out = lookup_facts(rows_in, facts, "name", "id", "n", hot_rows=50)
+    want = rows_in.join(facts.drop("n"), "name", "left")
+    assert sorted(map(tuple, out.select("id", "name", "first").collect())) == sorted(map(tuple, want.select("id", "name", "first").collect()))
+    null_name = spark.createDataFrame([(1, None)], "id BIGINT, name STRING")
+    assert lookup_facts(null_name, facts, "name", "id", "n").count() == 1
+
+
 # --- access -----------------------------------------------------------------
 
 
