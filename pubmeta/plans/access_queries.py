@@ -336,12 +336,16 @@ def _(s: Source) -> DataFrame:
 
 
 def _deletions(s: Source):
-    ids = s.table("nation").select(F.col("n_regionkey").cast("bigint").alias("id")).where("id < 3")
+    ids = s.table("region").where(F.col("r_name").startswith("A")).select(F.col("r_regionkey").cast("bigint").alias("id"))
     ids = ids.unionByName(s.table("nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id")))
     return A.delete_roles(s.view("roles"), s.view("user_roles"), ids)
 
 
-@query("ent4_delete_role_flags", "SELECT id, name, deleted OR id IN (1, 2) AS deleted FROM roles")
+@query(
+    "ent4_delete_role_flags",
+    """SELECT id, name, deleted OR (name <> 'ADMIN' AND id IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')) AS deleted
+       FROM roles""",
+)
 def _(s: Source) -> DataFrame:
     return _deletions(s)[0].select("id", "name", "deleted")
 

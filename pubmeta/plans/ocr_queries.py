@@ -55,6 +55,17 @@ def _(s: Source) -> DataFrame:
     return O.assemble_pages(pages(s), pages_per_part=3)
 
 
+@query(
+    "topk3_page_order",
+    """SELECT doc_id, string_agg('page ' || CAST(page_number AS VARCHAR), chr(10) || chr(10) ORDER BY page_number) AS page_order
+       FROM ocr_pages GROUP BY doc_id""",
+)
+def _(s: Source) -> DataFrame:
+    numbered = F.concat(F.lit("page "), F.col("page_number").cast("string"))
+    named = s.view("ocr_pages").select("doc_id", "page_number", F.lit(True).alias("success"), numbered.alias("markdown"))
+    return O.assemble_pages(named).select("doc_id", F.col("markdown").alias("page_order"))
+
+
 @query("agg2_normalize_prediction", f"SELECT doc_id, page_number, {MARKDOWN} AS markdown FROM ocr_pages")
 def _(s: Source) -> DataFrame:
     return pages(s).select("doc_id", "page_number", "markdown")

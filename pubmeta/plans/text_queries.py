@@ -311,10 +311,8 @@ def _(s: Source) -> DataFrame:
 
 @query(
     "f8_position_pick",
-    """SELECT conv_id, turn, CASE WHEN turn < 4 THEN string_split(text, ' ')[CAST(turn AS INTEGER) + 1] END AS word
-       FROM conversations""",
+    """SELECT conv_id, turn, string_split(text, ' ')[CAST(turn * 12 AS INTEGER) + 1] AS word FROM conversations""",
 )
 def _(s: Source) -> DataFrame:
-    firsts = F.slice(F.split("text", " "), 1, 4)
-    word = C.position_pick(firsts, F.col("turn").cast("int"))
+    word = C.position_pick(F.split("text", " "), (F.col("turn") * 12).cast("int"))
     return s.table("conversations").select("conv_id", "turn", word.alias("word"))
