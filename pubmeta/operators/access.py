@@ -42,22 +42,27 @@ def permission_names(role_permissions: DataFrame, permissions: DataFrame) -> Dat
 
 def roles_with_permissions(roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
     """Each role with its sorted permission names; roles without any keep an empty list."""
-    sets = (
-        permission_names(role_permissions, permissions)
-        .groupBy(F.col("role_id").alias("id"))
+    names = permission_names(role_permissions, permissions).withColumnRenamed("role_id", "id")
+    return (
+        roles.join(names, "id", "left")
+        .groupBy(*roles.columns)
         .agg(F.sort_array(F.collect_set("permission")).alias("permissions"))
     )
-    return roles.join(sets, "id", "left").withColumn(
-        "permissions", F.coalesce("permissions", F.array().cast(_STRINGS))
-    )
 
 
 def user_roles(
     users: DataFrame, user_role: DataFrame, roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame
 ) -> DataFrame:
-    """One row per user and role, with the permission set of the role."""
-    nested = roles_with_permissions(roles, role_permissions, permissions).select(
-        F.col("id").alias("role_id"), F.col("name").alias("role_name"), "permissions"
+    """One row per user and role, with the permission set of the role.
+
+    The role side is spread by name first, so that the join shuffles it by id on
+    its own. Only then does Spark know its real size and can broadcast it, or
+    else split a role that very many users hold.
+    """
+    nested = (
+        roles_with_permissions(roles, role_permissions, permissions)
+        .select(F.col("id").alias("role_id"), F.col("name").alias("role_name"), "permissions")
+        .repartition("role_name")
     )
     edges = user_role.distinct().join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     return edges.join(nested, "role_id")
@@ -158,7 +163,7 @@ def revoke(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def replacement_status(requests: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
     """``(user_id, role_ids)`` with ``error``: unknown user first, then any unknown role."""
-    known = users.select(F.col("id").alias("user_id")).distinct().withColumn("_user", F.lit(True))
+    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_user"))
     exist = all_ids_exist(requests, roles, "user_id")
     error = F.when(F.col("_user").isNull(), USER_NOT_FOUND).when(~F.col("all_exist"), ROLE_NOT_FOUND)
     return (
@@ -241,7 +246,7 @@ def update_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame)
     old = roles.select("id", F.col("name").alias("old_name"))
     given = normalize_role_name(F.col("name"))
     joined = requests.join(old, "id", "left").withColumn("new_name", F.coalesce(given, F.col("old_name")))
-    used = roles.select(F.col("name").alias("new_name")).distinct().withColumn("_used", F.lit(True))
+    used = roles.select(F.col("name").alias("new_name"), F.lit(True).alias("_used"))
     checked = joined.join(used, "new_name", "left").join(
         missing_permissions(requests, permissions, "id"), "id", "left"
     )
@@ -284,7 +289,7 @@ def create_users(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 def update_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Overwrite name and address of known users; addresses are not checked here (see the unique rule)."""
-    known = users.select("id").distinct().withColumn("_known", F.lit(True))
+    known = users.select("id", F.lit(True).alias("_known"))
     error = F.when(F.col("_known").isNull(), F.lit(USER_NOT_FOUND))
     return requests.join(known, "id", "left").select("id", "full_name", "email", error.alias("error"))
 

@@ -18,7 +18,7 @@ def decode_lists(metadata: DataFrame, lists: dict[str, str]) -> DataFrame:
 
 def get_metadata(paper_ids: DataFrame, papers: DataFrame, metadata: DataFrame) -> DataFrame:
     """Metadata of each asked ``paper_id`` with ``error`` for an unknown paper or missing record."""
-    known = papers.select(F.col("id").alias("paper_id")).distinct().withColumn("_paper", F.lit(True))
+    known = papers.select(F.col("id").alias("paper_id"), F.lit(True).alias("_paper"))
     record = metadata.withColumn("_record", F.lit(True))
     error = F.when(F.col("_paper").isNull(), PAPER_NOT_FOUND).when(F.col("_record").isNull(), METADATA_NOT_FOUND)
     joined = paper_ids.select("paper_id").join(known, "paper_id", "left").join(record, "paper_id", "left")

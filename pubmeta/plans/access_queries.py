@@ -171,7 +171,7 @@ def _(s: Source) -> DataFrame:
 )
 def _(s: Source) -> DataFrame:
     ids = s.table("orders").select(F.col("o_orderkey").alias("paper_id"))
-    papers = s.table("lineitem").select(F.col("l_orderkey").alias("id"))
+    papers = s.table("lineitem").select(F.col("l_orderkey").alias("id")).distinct()
     stored = s.view("metadata_raw").where("doi IS NOT NULL")
     as_json = F.coalesce(F.to_json(F.array("journal")), F.lit("[]"))
     as_json = F.when(F.col("journal").isNull(), F.lit("not a list")).otherwise(as_json)

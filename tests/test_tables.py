@@ -115,6 +115,25 @@ def test_nested_lists_are_sets(graph):
     assert [(r["id"], r["permissions"]) for r in got["u2"]] == [(1, ["P1", "P2"])]
 
 
+def test_role_lookup_can_be_split_or_broadcast(graph):
+    """Both inputs of the join on the role id must come straight from a shuffle of their own."""
+    users, ur, roles, rp, perms = graph
+    spark = users.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.user_roles(users, ur, roles, rp, perms)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [line.strip(" :+-") for line in plan.split("\n")]
+    top = next(i for i, line in enumerate(lines) if line.startswith("SortMergeJoin [role_id"))
+    indent = lambda i: len(plan.split("\n")[i]) - len(plan.split("\n")[i].lstrip(" :+-"))
+    children = [i for i in range(top + 1, len(lines)) if lines[i] and indent(i) == indent(top) + 3]
+    for child in children[:2]:
+        assert lines[child].startswith("Sort [role_id"), plan
+        assert lines[child + 1].startswith("Exchange hashpartitioning(role_id"), plan
+
+
 def test_replace_roles_is_all_or_nothing(spark, graph):
     users, ur, roles, *_ = graph
     requests = spark.createDataFrame([("u1", [1, 1]), ("u2", [1, 99]), ("nobody", [1])], "user_id STRING, role_ids ARRAY<BIGINT>")
