@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubmeta.llm.common import Scratch
+from pubmeta.llm.common import Scratch, groups_of
 from pubmeta.llm.components import connected_components
 
 #: Directions of each of the two blocks; all pairs of them are the filters (36,864).
@@ -21,10 +21,6 @@ CAP = 6e-4
 #: Members of a bucket that are compared at once; larger buckets are cut into pairs of such pieces.
 PIECE = 512
 
-_ROW = (
-    "label long, dim int, filter int, pa int, pb int, side int, node long, weight long, vec binary, filters binary"
-)
-
 
 @lru_cache(maxsize=16)
 def product_code(dim: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,8 +107,10 @@ def _share_earlier(left: list[np.ndarray], right: list[np.ndarray], before: int)
     return out
 
 
-def _compare(rows: dict[str, list], filter_id: int, same: bool, cosine: float):
+def _compare(table: pa.Table, cosine: float) -> pa.Table | None:
     """Links first met in this bucket: per node the weight of its partners, and an edge to a partner's root."""
+    rows = table.to_pydict()
+    filter_id, same = rows["filter"][0], rows["pa"][0] == rows["pb"][0]
     side = np.array(rows["side"])
     node = np.array(rows["node"], np.int64)
     weight = np.array(rows["weight"], np.int64)
@@ -145,52 +143,13 @@ def _compare(rows: dict[str, list], filter_id: int, same: bool, cosine: float):
         if not changed:
             break
     found = total > 0
-    return node[found], total[found], root[found]
+    return pa.table({"node": node[found], "links": total[found], "root": root[found]})
 
 
 def _links(cosine: float):
-    """Sorted rows of buckets in, ``node, links, root`` out; a bucket may span batches."""
+    """Sorted rows of buckets in, ``node, links, root`` out."""
     keys = ("label", "dim", "filter", "pa", "pb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-
-        def groups(table: pa.Table, final: bool) -> tuple[list, pa.Table | None]:
-            cols = [table.column(k).to_numpy() for k in keys]
-            change = np.zeros(table.num_rows, bool)
-            change[0] = True
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [*np.flatnonzero(change), table.num_rows]
-            upto = len(cuts) - 1 if final else len(cuts) - 2
-            out = []
-            for lo, hi in zip(cuts[:upto], cuts[1 : upto + 1], strict=True):
-                if hi - lo > 1:
-                    rows = table.slice(lo, hi - lo).select(["side", "node", "weight", "vec", "filters"]).to_pydict()
-                    got = _compare(rows, int(cols[2][lo]), bool(cols[3][lo] == cols[4][lo]), cosine)
-                    if got is not None:
-                        out.append(got)
-            return out, None if final else table.slice(cuts[-2])
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["node", "links", "root"]
-            )
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if carry is None else pa.concat_tables([carry, table])
-            found, carry = groups(table.combine_chunks(), False)
-            if found:
-                yield batch_of(found)
-        if carry is not None:
-            found, _ = groups(carry.combine_chunks(), True)
-            if found:
-                yield batch_of(found)
-
-    return run
+    return lambda batches: groups_of(batches, keys, lambda table: _compare(table, cosine))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:

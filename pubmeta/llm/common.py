@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -158,3 +158,39 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         end = min(max(end, start + 1), len(text))
         yield batch.slice(start, end - start)
         start = end
+
+
+def groups_of(
+    batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], each: Callable[[pa.Table], pa.Table | None]
+) -> Iterator[pa.RecordBatch]:
+    """Call ``each`` on the groups of at least two rows of a partition that is sorted by the keys.
+
+    Groups may span batches. This is for very many small groups, for which a Python call per group through the
+    engine costs more than the work.
+    """
+
+    def cut(table: pa.Table, final: bool) -> tuple[list[pa.Table], pa.Table | None]:
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [*np.flatnonzero(change), table.num_rows]
+        upto = len(cuts) - 1 if final else len(cuts) - 2
+        found = [table.slice(lo, hi - lo) for lo, hi in zip(cuts[:upto], cuts[1 : upto + 1], strict=True) if hi - lo > 1]
+        results = [r for r in map(each, found) if r is not None and r.num_rows]
+        return results, None if final else table.slice(cuts[-2])
+
+    carry: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if carry is None else pa.concat_tables([carry, table])
+        results, carry = cut(table.combine_chunks(), False)
+        if results:
+            yield from pa.concat_tables(results).combine_chunks().to_batches()
+    if carry is not None:
+        results, _ = cut(carry.combine_chunks(), True)
+        if results:
+            yield from pa.concat_tables(results).combine_chunks().to_batches()

@@ -6,29 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubmeta.llm.common import Scratch, chunks, mix, stream, word_hashes
+from pubmeta.llm.common import Scratch, chunks, groups_of, mix, stream, word_hashes
 from pubmeta.llm.components import connected_components
 
-#: Registers of a sketch, and how many of them make a band. A pair at similarity 0.8 shares none of the 32 bands
-#: with probability (1 - 0.8**5)**32 = 3e-6.
-REGISTERS = 160
+#: Registers of a sketch, of one byte.
+REGISTERS = 512
+#: The first registers make the bands. A pair at similarity 0.8 shares none of the 32 bands of 5 registers with
+#: probability (1 - 0.8**5)**32 = 3e-6.
+BANDS = 32
 BAND = 5
-#: Mantissa bits kept after the leading one.
-MANTISSA = 10
+#: Mantissa bits kept after the leading one; the other six bits are the leading zeros.
+MANTISSA = 2
 #: Rounds of one hash for all registers; registers still empty then get a hash of their own.
-ROUNDS = 4
+ROUNDS = 8
 #: Expected share of registers that agree by collision only (0.1699 / 2**MANTISSA for sets of like size).
 COLLISION = 0.169919487159739093975315012348 / (1 << MANTISSA)
-#: A candidate goes on when its estimate is at least the threshold less this; 4.7 standard deviations at 0.8.
-MARGIN = 0.15
+#: A candidate goes on when its estimate is at least the threshold less this; 4.1 standard deviations at 0.8.
+MARGIN = 0.075
+#: Members of a bucket that are compared at once.
+PIECE = 256
 
 _ROUND = stream(ROUNDS, 2)
 _OWN = stream(REGISTERS, 3)
 _BAND_WEIGHT = stream(BAND, 4) | np.uint64(1)
-_BAND_SALT = stream(REGISTERS // BAND, 5)
+_BAND_SALT = stream(BANDS, 5)
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -55,7 +59,7 @@ def _compress(values: np.ndarray, rounds: np.ndarray) -> np.ndarray:
     """Leading zeros of 32-bit values (6 bits) and the MANTISSA bits after the leading one; rounds shift the code."""
     mantissa, exponent = np.frexp((values + np.uint64(1)).astype(np.float64))
     code = ((33 - exponent) << MANTISSA) | ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-    return ((code + rounds * 40503) & 0xFFFF).astype(np.uint16)
+    return ((code + rounds * 37) & 0xFF).astype(np.uint8)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -79,19 +83,21 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         empty &= ~new
         if not empty.any():
             break
-    for b in np.flatnonzero(empty):
-        values[b], rounds[b] = (mix(shingles ^ _OWN[b]) & low).min(), ROUNDS
+    own = np.flatnonzero(empty)
+    if len(own):
+        values[own] = (mix(shingles[None, :] ^ _OWN[own][:, None]) & low).min(axis=1)
+        rounds[own] = ROUNDS
     return _compress(values, rounds)
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
-    grouped = registers.reshape(-1, BAND).astype(np.uint64)
+    grouped = registers[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
     return mix((grouped * _BAND_WEIGHT).sum(axis=1, dtype=np.uint64) ^ _BAND_SALT).view(np.int64)
 
 
 def estimate(a: bytes, b: bytes) -> float:
     """Jaccard similarity by agreeing registers, less those expected to agree by collision."""
-    same = np.count_nonzero(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) / REGISTERS
+    same = np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) / REGISTERS
     return max(0.0, (same - COLLISION) / (1 - COLLISION))
 
 
@@ -119,10 +125,46 @@ def _sketches(words: int):
 
 def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        regs = [bands(np.frombuffer(r, np.uint16)) for r in batch.column("registers").to_pylist()]
-        if regs:
-            ids = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), REGISTERS // BAND)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regs)), pa.array(ids)], names=["band", "node"])
+        found = [bands(np.frombuffer(r, np.uint8)) for r in batch.column("registers").to_pylist()]
+        if found:
+            ids = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], names=["band", "node"])
+
+
+def _compare(threshold: float):
+    """Pairs of a bucket's pieces that lie in different components and are near by estimate.
+
+    A pair is given only in the first band that it shares.
+    """
+    least = int(np.floor((COLLISION + threshold * (1 - COLLISION)) * REGISTERS))
+
+    def run(table: pa.Table) -> pa.Table | None:
+        side = table.column("side").to_numpy()
+        same = table.column("kind")[0].as_py() == 0 and table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        left = np.arange(len(side)) if same else np.flatnonzero(side == 0)
+        right = np.arange(len(side)) if same else np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return None
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        registers = np.vstack([np.frombuffer(r, np.uint8) for r in table.column("registers").to_pylist()])
+        found = []
+        for i in left:
+            j = right[(part[right] != part[i]) & ((right > i) if same else True)]
+            j = j[(registers[j] == registers[i]).sum(axis=1) >= least]
+            if len(j):
+                found.append(np.column_stack([np.full(len(j), i), j]))
+        if not found:
+            return None
+        i, j = np.concatenate(found).T
+        used = np.unique(np.concatenate([i, j]))
+        keys = np.zeros((len(node), BANDS), np.int64)
+        keys[used] = [bands(registers[u]) for u in used]
+        shared = keys[i] == keys[j]
+        first = keys[i][np.arange(len(i)), shared.argmax(axis=1)] == table.column("band")[0].as_py()
+        a, b = node[i[first]], node[j[first]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return lambda batches: groups_of(batches, ("band", "kind", "p", "q"), run)
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +207,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     the row is kept. Rows that repeat a doc_id are each judged by their own text. An empty table gives an empty result.
 
     1. Documents with equal sets (128 bits over the whole set and its size) become one node, grouped with map-side
-       combine. 2. HyperMinHash registers are cut into bands. In each band bucket all members are paired with the
-       smallest one only, and each document takes its two best pairs by estimate to the check on whole sets.
-    3. With the components so far, every pair of different components that still shares a bucket is checked, so a
+       combine. 2. HyperMinHash registers are cut into bands. In each band bucket all members are paired with one
+       only, the one that meets most others over all bands, and each document takes its two best pairs by estimate
+       to the check on whole sets.
+    3. With the components so far, every pair of different components that still shares a bucket is compared, so a
        bucket costs its members times those outside its main component, and no link between different texts is
-       lost but by the banding itself. 4. Components of all links.
+       lost but by the banding itself. Buckets are dealt out in pairs of pieces of about PIECE members; registers
+       are compared inside the task, and only pairs that are near by estimate are written and checked. 4. Components of all links.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -188,10 +232,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "nodes",
     )
     banded = nodes.mapInArrow(_explode_bands, "band long, node long").distinct()
-    buckets = scratch.table(
-        banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top"), "buckets"
-    )
-    members = scratch.table(banded.join(buckets.select("band", "hub"), "band"), "members")
+    buckets = scratch.table(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = banded.join(buckets, "band")
+    # how many others a node meets; the original of many edited copies meets more than any of the copies
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    members = scratch.table(members.select("band", "node").join(met, "node"), "members")
+    hubs = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("id"))).alias("hub"))
+    hubs = scratch.table(hubs.select("band", (-F.col("hub.id")).alias("hub")), "hubs")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         left = nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
@@ -206,7 +253,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return both.mapInArrow(_verified(words, percent), "a long, b long, linked boolean")
 
-    star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = members.join(hubs, "band").where("node <> hub")
+    star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     best = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
     first = estimated(star).withColumn("nth", F.row_number().over(best)).where("nth <= 2")
     tried = scratch.table(verified(scratch.table(first.select("a", "b"), "star")), "tried")
@@ -222,16 +270,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")
     )
     mixed = scratch.table(main.where("parts > 1").select("band", F.col("most.part").alias("main")), "mixed")
-    within = placed.join(mixed, "band")
-    outside = within.where("part <> main").select("band", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    rest = (
-        outside.join(within, "band")
-        .where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("x"))))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        .distinct()
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    # outsiders meet each other (kind 0) and the main component (kind 1), piece by piece
+    within = placed.join(mixed, "band").withColumn("outside", F.col("part") != F.col("main"))
+    counts = within.groupBy("band").agg(
+        F.ceil(F.count_if("outside") / PIECE).cast("int").alias("outer"),
+        F.ceil(F.count_if(~F.col("outside")) / PIECE).cast("int").alias("inner"),
+    )
+    within = within.join(counts, "band").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    )
+
+    def meeting(kind: int, p: Column, q: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.cast("int").alias("side"))
+
+    outer = F.sequence(F.lit(0), F.col("outer") - 1)
+    inner = F.sequence(F.lit(0), F.col("inner") - 1)
+    own = F.col("own")
+    meetings = F.when(
+        F.col("outside"),
+        F.concat(
+            F.transform(outer, lambda k: meeting(0, F.least(own, k), F.greatest(own, k), own > k)),
+            F.transform(inner, lambda k: meeting(1, own, k, F.lit(0))),
+        ),
+    ).otherwise(F.transform(outer, lambda k: meeting(1, k, own, F.lit(1))))
+    keys = ["band", "kind", "p", "q"]
+    dealt = within.select("band", "node", "part", F.inline(meetings))
+    dealt = dealt.join(nodes, "node").select(*keys, "side", "node", "part", "registers")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    rest = scratch.table(dealt.mapInArrow(_compare(percent / 100 - MARGIN), "a long, b long"), "rest")
+    rest = rest.distinct().join(
+        tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
-    later = scratch.table(verified(scratch.table(estimated(rest).select("a", "b"), "rest")), "later")
+    later = scratch.table(verified(rest), "later")
     more = later.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     component = connected_components(links.union(more), scratch)
 
