@@ -82,7 +82,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "null_ids": [_pack(ids[:, 1], np.bool_)],
             "held_out": [_pack(out, np.bool_)],
             "lengths": [_pack(lengths, np.int64)],
-            "words": [_pack(words, np.uint64)],
+            "words": [_pack_keys(words)],
             "learned": [_planes(np.bincount(text[np.repeat(~out, lengths)], minlength=len(words)).astype(np.uint32))],
             "text": [_planes(text.astype(np.uint32))],
         }
@@ -123,7 +123,7 @@ class Block:
     @classmethod
     def of(cls, row: dict) -> Block:
         return cls(
-            np.frombuffer(row["words"], np.uint64),
+            _unpack_keys(row["words"]),
             _from_planes(row["text"], np.uint32),
             np.frombuffer(row["lengths"], np.int64),
             np.frombuffer(row["held_out"], np.bool_),
@@ -224,7 +224,7 @@ def _word_requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = np.frombuffer(row["words"], np.uint64)
+                words = _unpack_keys(row["words"])
                 learned = _from_planes(row["learned"], np.uint32)
                 rows = list(_requests("count1", row["block"], words, learned, None, buckets))
                 yield from _table(rows, _REQUEST).to_batches()
@@ -485,6 +485,7 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
 
     def answered(requests: DataFrame) -> dict[str, list[int]]:
         """Store the answers to all requests; what they say of the whole corpus, by kind."""
+        scratch.release()
         answers = scratch.table(requests.groupBy("kind", "bucket").applyInArrow(_merge, _ANSWER), "answers")
         known.append(answers.where("block is not null").select("kind", "block", "bucket", "answer"))
         each = answers.where("block is null").select("kind", F.posexplode("tally").alias("r", "n"))
