@@ -23,13 +23,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def distinct_ignore_case(arr: Column) -> Column:
     """Order-preserving distinct, ignoring case; the first spelling stays."""
 
-    def keep_first(items: Column) -> Column:
-        return bind(
-            F.transform(items, F.upper),
-            lambda keys: F.filter(items, lambda x, i: F.array_position(keys, F.upper(x)) == i + 1),
-        )
+    def keyed(x: Column, i: Column) -> Column:
+        return F.struct(F.upper(x).alias("key"), i.alias("at"), x.alias("value"))
+
+    def first_of_runs(ordered: Column) -> Column:
+        before = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
+        by_place = F.array_sort(F.transform(before, lambda x: F.struct(x["at"], x["value"])))
+        return F.transform(by_place, lambda x: x["value"])
 
-    return bind(arr, keep_first)
+    # equal keys are neighbours once sorted, the earliest first
+    known = F.filter(arr, lambda x: x.isNotNull())
+    return bind(F.array_sort(F.transform(known, keyed)), first_of_runs)
 
 
 def first_non_blank(arr: Column) -> Column:
@@ -47,9 +51,20 @@ def join_non_blank(arr: Column, sep: str) -> Column:
 
 
 def parse_json_or_empty(c: Column, element: T.DataType) -> Column:
-    """JSON list as an array; blank, invalid or non-list JSON gives an empty array."""
+    """JSON list as an array; blank, invalid or non-list JSON gives an empty array.
+
+    So does text after the list, and an element of another kind in a list of strings. Struct fields are read by
+    their camelCase names.
+    """
     schema = T.ArrayType(element)
-    parsed = F.from_json(F.when(c.rlike(r"^\s*\["), c), schema)
+    # as the only element of a list, text after the value is an error or a second element
+    wrapped = F.concat(F.lit("["), c, F.lit("]"))
+    fits = c.rlike(r"^\s*\[")
+    if isinstance(element, T.StringType):
+        kind = F.schema_of_variant(F.try_parse_json(wrapped))
+        fits = fits & kind.isin("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>")
+    read = F.from_json(F.when(fits, wrapped), camel_type(T.ArrayType(schema)))
+    parsed = F.when(F.size(read) == 1, F.get(read, F.lit(0))).cast(schema)
     return F.coalesce(parsed, F.array().cast(schema))
 
 

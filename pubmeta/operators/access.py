@@ -242,6 +242,8 @@ def update_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame)
 
     A blank name keeps the old one. The description is always overwritten. A
     NULL permission list leaves the permissions alone, an empty one clears them.
+    Requests count as made in id order: of several that ask for one free name the
+    first acceptable one takes it. A name that another request gives up counts as in use.
     """
     old = roles.select("id", F.col("name").alias("old_name"))
     given = normalize_role_name(F.col("name"))
@@ -251,9 +253,12 @@ def update_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame)
         missing_permissions(requests, permissions, "id"), "id", "left"
     )
     renamed = F.col("old_name") != F.col("new_name")
+    open_ = renamed & F.col("_used").isNull() & F.col("missing").isNull()
+    first = checked.where(open_).groupBy("new_name").agg(F.min("id").alias("_winner"))
+    checked = checked.join(first, "new_name", "left")
     error = (
         F.when(F.col("old_name").isNull(), F.lit(ROLE_NOT_FOUND))
-        .when(renamed & F.col("_used").isNotNull(), F.lit(ROLE_EXISTS))
+        .when(renamed & (F.col("_used").isNotNull() | (F.col("id") > F.col("_winner"))), F.lit(ROLE_EXISTS))
         .when(F.col("missing").isNotNull(), F.concat(F.lit(PERMISSION_NOT_FOUND), F.col("missing")))
     )
     return checked.select(

@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeta.functions.text import collapse_blank_lines, strip_ocr
-from pubmeta.schemas import EMPTY_MARKDOWN, EMPTY_PDF, INVALID_PDF, MAX_ERROR_LENGTH
+from pubmeta.schemas import EMPTY_MARKDOWN, EMPTY_PDF, INVALID_PDF
 
 # Pages joined into one row of Markdown. Longer documents come in several parts,
 # so no row grows with the length of a document.
 PAGES_PER_PART = 1000
 
-# The first 1000 different page numbers take 4,891 characters when written as a list,
-# more than an error text keeps.
-_FAILED_SHOWN = 1000
-
 # Content types and markers of the OCR contract.
 OCR_CONTENT_TYPES = ("application/pdf", "application/x-pdf")
 MISSING_PAGE = "[MISSING_PAGE_POST]"
@@ -51,7 +47,7 @@ def assemble_pages(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> Da
     Joining stripped pages by a blank line and collapsing newline runs equals
     joining the collapsed non-blank pages, so the clean-up runs per page before
     the shuffle. Part ``n`` holds the ``n``-th run of ``pages_per_part`` page
-    numbers; the parts of a document joined by a blank line are its Markdown.
+    numbers; a part without text is empty. ``whole_markdown`` joins the others.
     """
     clean = F.when(F.col("success"), F.nullif(collapse_blank_lines(F.col("markdown")), F.lit("")))
     part = F.floor((F.col("page_number") - 1) / pages_per_part).cast("int")
@@ -63,18 +59,22 @@ def assemble_pages(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> Da
     )
 
 
+def whole_markdown(parts: DataFrame) -> DataFrame:
+    """``(doc_id, markdown)`` from the parts of each document: those with text, joined by a blank line."""
+    texts = F.when(F.col("markdown") != "", F.struct("part", "markdown"))
+    ordered = F.transform(F.array_sort(F.collect_list(texts)), lambda p: p["markdown"])
+    return parts.groupBy("doc_id").agg(F.array_join(ordered, "\n\n").alias("markdown"))
+
+
 def failed_pages(pages: DataFrame) -> DataFrame:
-    """Documents with a failed page: how many, and the message naming them in page order.
+    """Documents with a failed page, and the message naming all of them in page order.
 
-    The message is cut at the stored length, so only the page numbers that can
-    show are collected; the per-group limit is applied before the shuffle too.
+    Only page numbers are collected, four bytes for each failed page of a document.
     """
-    by_page = Window.partitionBy("doc_id").orderBy("page_number")
     bad = pages.where(~F.col("success")).select("doc_id", "page_number")
-    shown = bad.withColumn("_n", F.row_number().over(by_page)).where(F.col("_n") <= _FAILED_SHOWN)
     numbers = F.array_join(F.array_sort(F.collect_list("page_number")).cast("array<string>"), ", ")
     message = F.concat(F.lit("OCR failed for page(s): "), numbers)
-    return shown.groupBy("doc_id").agg(F.left(message, F.lit(MAX_ERROR_LENGTH)).alias("error"))
+    return bad.groupBy("doc_id").agg(message.alias("error"))
 
 
 def ocr_outcome(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def infer_pages(
     """Run a page model over ``(doc_id, page_number, <input>)`` in batches of consecutive pages.
 
     ``model(inputs)`` returns ``{"predictions": [...], "repeats": [...]}``. A
-    raising batch is tried again; after ``max_retry`` attempts all its pages
+    batch that raises, or gets an answer that cannot be read, is tried again; after ``max_retry`` attempts all its pages
     fail with the last error. A page the model says nothing about fails alone.
     """
 
@@ -136,15 +136,16 @@ def infer_pages(
         for attempt in range(1, max_retry + 1):
             try:
                 answer = model(list(batch[input_column]))
+                predictions, repeats = answer.get("predictions", []), answer.get("repeats", [])
+                texts = [predictions[i] if i < len(predictions) else None for i in range(len(numbers))]
+                texts = [None if t is None else str(t) for t in texts]
+                counts = [repeats[i] if i < len(repeats) else None for i in range(len(numbers))]
+                counts = pd.array([None if c is None else int(c) for c in counts], dtype="Int32")
             except Exception as problem:
                 out["error"] = str(problem)
                 continue
-            predictions, repeats = answer.get("predictions", []), answer.get("repeats", [])
-            texts = [predictions[i] if i < len(predictions) else None for i in range(len(numbers))]
             out["prediction"] = texts
-            out["repeats"] = pd.array(
-                [repeats[i] if i < len(repeats) else None for i in range(len(numbers))], dtype="Int32"
-            )
+            out["repeats"] = counts
             out["success"] = [t is not None for t in texts]
             out["error"] = [None if t is not None else NO_PREDICTION for t in texts]
             out["attempts"] = attempt

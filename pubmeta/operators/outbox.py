@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubmeta.schemas import FAILED, MAX_ERROR_LENGTH, PUBLISHED
+from pubmeta.schemas import FAILED, PUBLISHED
 
 BATCH = 20
 
@@ -31,7 +31,7 @@ def outbox_transition(outbox: DataFrame, results: DataFrame, now: Column) -> Dat
             "status": F.when(ok, PUBLISHED).when(bad, FAILED).otherwise(F.col("status")),
             "retry_count": F.when(bad, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
             "last_error": F.when(ok, F.lit(None))
-            .when(bad, F.left("_error", F.lit(MAX_ERROR_LENGTH)))
+            .when(bad, F.col("_error"))
             .otherwise(old("last_error", "string")),
             "published_at": F.when(ok, now).otherwise(old("published_at", "timestamp")),
         }

@@ -30,7 +30,6 @@ from pubmeta.schemas import (
     COMPLETED,
     FAILED,
     INVALID_TEI,
-    MAX_ERROR_LENGTH,
     METADATA_FIELDS_DDL,
     struct_type,
 )
@@ -256,9 +255,7 @@ def extract_metadata(docs: DataFrame, references: bool = True, keep_xml: bool =
         *keep,
         *columns,
         F.when(failed, FAILED).otherwise(COMPLETED).alias("extraction_status"),
-        F.left(
-            F.coalesce(F.nullif("parse_error", F.lit("")), F.when(failed, F.lit(INVALID_TEI))), F.lit(MAX_ERROR_LENGTH)
-        ).alias("extraction_error"),
+        F.coalesce(F.nullif("parse_error", F.lit("")), F.when(failed, F.lit(INVALID_TEI))).alias("extraction_error"),
     )
 
 

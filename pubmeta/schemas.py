@@ -93,4 +93,5 @@ EMAIL_EXISTS = "Email already exists"
 USER_ID_REQUIRED = "User id must be Cognito sub"
 
 # Longest error text a table keeps.
+# Length that a quality check reports as too long; texts are stored whole.
 MAX_ERROR_LENGTH = 4000

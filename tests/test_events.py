@@ -68,7 +68,7 @@ def test_outbox_transition(spark):
     results = spark.createDataFrame([(1, None), (2, "x" * 5000)], "id BIGINT, error STRING")
     a, b, c = O.outbox_transition(outbox, results, F.current_timestamp()).orderBy("id").collect()
     assert (a["status"], a["retry_count"], a["last_error"]) == ("Published", 0, None) and a["published_at"] is not None
-    assert (b["status"], b["retry_count"], len(b["last_error"]), b["published_at"]) == ("Failed", 5, 4000, None)
+    assert (b["status"], b["retry_count"], len(b["last_error"]), b["published_at"]) == ("Failed", 5, 5000, None)
     assert (c["status"], c["published_at"]) == ("Pending", None)
 
 

@@ -52,17 +52,28 @@ def test_failed_pages_in_order(spark):
     assert [tuple(r) for r in got] == [(1, "OCR failed for page(s): 2, 5, 11")]
 
 
-def test_long_failure_message_is_cut_not_dropped(spark):
+def test_long_failure_message_is_whole(spark):
     pages = [(1, n, "x", None, False) for n in range(1, 5001)]
     (row,) = O.failed_pages(spark.createDataFrame(pages, DDL)).collect()
-    full = "OCR failed for page(s): " + ", ".join(str(n) for n in range(1, 5001))
-    assert row["error"] == full[:4000]
+    assert row["error"] == "OCR failed for page(s): " + ", ".join(str(n) for n in range(1, 5001))
 
 
-def test_failure_list_is_limited_before_the_shuffle(spark):
-    pages = spark.createDataFrame([(1, 1, "x", None, False)], DDL)
-    plan = O.failed_pages(pages)._jdf.queryExecution().sparkPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_parts_without_text(spark):
+    pages = [(1, 1, "a", None, True), (1, 2, " ", None, True), (1, 3, "c", None, True), (2, 1, "x", None, False)]
+    parts = O.assemble_pages(O.page_markdown(spark.createDataFrame(pages, DDL)), pages_per_part=1)
+    assert {tuple(r) for r in O.whole_markdown(parts).collect()} == {(1, "a\n\nc"), (2, "")}
+
+
+def test_unreadable_answers_fail_their_pages_only(spark):
+    pages = spark.createDataFrame([(1, n, f"p{n}") for n in (1, 2, 3)], "doc_id BIGINT, page_number INT, image STRING")
+
+    def model(inputs):
+        if "p1" in inputs:
+            return None
+        return {"predictions": inputs, "repeats": ["many" if "p2" in inputs else 0]}
+
+    got = O.infer_pages(pages, model, batch_size=1).orderBy("page_number").collect()
+    assert [(r["success"], r["attempts"]) for r in got] == [(False, 3), (False, 3), (True, 1)]
 
 
 def test_outcomes(spark):

@@ -236,3 +236,39 @@ def test_get_metadata_statuses(spark):
     md = R.decode_lists(spark.createDataFrame([(1, "T", "[\"k\"]")], "paper_id BIGINT, title STRING, keywords STRING"), {"keywords": "STRING"})
     got = rows(R.get_metadata(ids, papers, md).select("paper_id", "keywords", "error"), "paper_id")
     assert got == [(1, ["k"], None), (2, None, "Paper metadata was not found."), (3, None, "Paper was not found.")]
+
+
+def test_fold_keeps_what_a_change_does_not_carry(spark):
+    from pubmeta.streaming.jobs import fold
+
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z")], "id LONG, status STRING, owner STRING")
+    ddl = "version_id LONG, status STRING, batch_id LONG"
+    changes = spark.createDataFrame([(2, "old", 1), (2, "new", 2), (3, "added", 1)], ddl)
+    got = {tuple(r) for r in fold(base, changes, "version_id", "id").collect()}
+    assert got == {(1, "a", "x"), (2, "new", "y"), (None, "c", "z"), (3, "added", None)}
+
+
+def test_two_roles_cannot_take_one_name(spark):
+    from pubmeta.operators.access import update_roles
+
+    roles = spark.createDataFrame([(1, "ROLE_A"), (2, "ROLE_B")], "id LONG, name STRING")
+    permissions = spark.createDataFrame([(1, "p")], "id LONG, name STRING")
+    ddl = "id LONG, name STRING, description STRING, permissions ARRAY<STRING>"
+    requests = spark.createDataFrame([(2, "new", None, None), (1, "new", None, None)], ddl)
+    got = {r["id"]: (r["name"], r["error"] is None) for r in update_roles(requests, roles, permissions).collect()}
+    assert got[2] == ("ROLE_B", False) and got[1][1] and got[1][0] != "ROLE_A"
+
+
+def test_json_lists_round_trip(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from pubmeta.functions.collections import parse_json_or_empty, to_json_web
+
+    element = T.StructType([T.StructField("first_name", T.StringType()), T.StructField("email", T.StringType())])
+    df = spark.createDataFrame([([("Ada", "a@x"), (None, None)],)], T.StructType([T.StructField("v", T.ArrayType(element))]))
+    back = df.select(parse_json_or_empty(to_json_web(F.col("v"), T.ArrayType(element)), element).alias("v")).first()["v"]
+    assert [tuple(x) for x in back] == [("Ada", "a@x"), (None, None)]
+    texts = spark.createDataFrame([('["a", 1]',), ('["a"] junk',), ('["a", null]',), ("[]",)], "t STRING")
+    got = [r[0] for r in texts.select(parse_json_or_empty(F.col("t"), T.StringType())).collect()]
+    assert got == [[], [], ["a", None], []]
