@@ -362,7 +362,7 @@ def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -
         history[1:] = below.grams.at[:-1]
         history[place < n - 1] = -1
         known = history >= 0
-        weight, factor = model.weight(row[f"mass{n}"], below.count)
+        weight, factor = model.weight(row.get(f"mass{n}", np.zeros(0)), below.count)
         prob[known] *= weight[history[known]]
         at = level.grams.at
         seen = known & (at >= 0) & np.append(level.count >= LEAST_COUNT, False)[at]
