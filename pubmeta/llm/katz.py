@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from pubmeta.llm.common import Scratch, chunks, mix, stream, word_hashes
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 #: Keys that a bucket should hold; sets the number of buckets.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 #: Counts above this are not discounted.
 TOP_COUNT = 5
 #: N-grams of order two and up that occur less often are left to the lower order.
