@@ -362,7 +362,10 @@ def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -
         history[1:] = below.grams.at[:-1]
         history[place < n - 1] = -1
         known = history >= 0
-        weight, factor = model.weight(row.get(f"mass{n}", np.zeros(0)), below.count)
+        # only a history that is frequent itself can have frequent n-grams; of the others nothing was asked
+        answer = np.ones(len(below.count))
+        answer[below.count >= LEAST_COUNT] = row.get(f"mass{n}", np.zeros(0))
+        weight, factor = model.weight(answer, below.count)
         prob[known] *= weight[history[known]]
         at = level.grams.at
         seen = known & (at >= 0) & np.append(level.count >= LEAST_COUNT, False)[at]
@@ -373,7 +376,7 @@ def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -
 
 
 def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Per history of ``order``: the discounted mass of its n-grams this block speaks for, and their mass one order below."""
+    """Per frequent history of ``order``: the discounted mass of its n-grams this block speaks for, and their mass one order below."""
     block, levels = _levels(row, order)
     level, below = levels[-1], levels[-2]
     lower = _probabilities(block, levels[:-1], model, row)
@@ -384,7 +387,8 @@ def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray
     high = model.factor(order, c) * c / below.count[history]
     n = len(below.grams.keys)
     sums = [np.bincount(history, x, minlength=n) for x in (high, lower[ends])]
-    return below.grams.keys, np.column_stack(sums)
+    frequent = below.count >= LEAST_COUNT
+    return below.grams.keys[frequent], np.column_stack(sums)[frequent]
 
 
 def _known(left: pa.Table, right: pa.Table) -> dict:
