@@ -496,6 +496,7 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
         totals: dict[str, list[int]] = {}
         for r in each.groupBy("kind", "r").agg(F.sum("n").alias("n")).orderBy("kind", "r").collect():
             totals.setdefault(r["kind"], []).append(r["n"])
+        scratch.release()
         return totals
 
     def with_answers(run: Callable, ddl: str) -> DataFrame:
