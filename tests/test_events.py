@@ -47,6 +47,34 @@ def test_parse_event(spark):
     ]
 
 
+def test_parse_event_is_strict(spark):
+    rest = '"paperId":1,"paperVersionId":2'
+    good = [
+        "{%s}" % rest,
+        ' {%s,"pdfS3Key":null,"other":{"a":[1]}} ' % rest,
+        '{%s,"uploadedAt":"2026-01-02T03:04:05.123Z"}' % rest,
+        '{%s,"uploadedAt":"2026-01-02T03:04:05+01:00"}' % rest,
+        '{"paperId":9,%s}' % rest,
+    ]
+    bad = [
+        "{%s} junk" % rest,
+        "{%s},{}" % rest,
+        "{%s}]" % rest,
+        "{%s" % rest,
+        '{%s,"pdfS3Key":5}' % rest,
+        '{%s,"pdfS3Key":{"a":"b"}}' % rest,
+        '{%s,"originalFileName":["a"]}' % rest,
+        '{%s,"uploadedAt":"2026"}' % rest,
+        '{%s,"uploadedAt":2026}' % rest,
+        '{%s,"uploadedAt":null}' % rest,
+        '{"paperId":1.0,"paperVersionId":2}',
+        '{"paperId":" 1","paperVersionId":2}',
+        '{"paperId":true,"paperVersionId":2}',
+    ]
+    assert [r[0] for r in parse(spark, *good)] == [True] * len(good)
+    assert [r[0] for r in parse(spark, *bad)] == [False] * len(bad)
+
+
 def test_hot_version_is_matched_once(spark):
     events = spark.createDataFrame([(True, 7, 1)] * 500 + [(True, 8, 2), (False, 7, 1)], "valid BOOLEAN, paper_version_id BIGINT, paper_id BIGINT")
     versions = spark.createDataFrame([(7, 1, "a.pdf"), (8, 3, "b.pdf")], "id BIGINT, paper_id BIGINT, original_file_name STRING")
