@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +46,15 @@ def _pack(a: np.ndarray, kind: type) -> bytes:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The bytes of an integer array by significance, so that small values leave long runs of zeros."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    """The bytes of a number array by significance, packed: small values leave runs of zeros and few different bytes."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _from_planes(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -210,7 +213,8 @@ def _requests(kind: str, block_id: int, keys: np.ndarray, counts: np.ndarray | N
                 yield row | {"counts": _planes(counts[lo:hi]), "extra": None}
             else:
                 some = np.flatnonzero(sums[lo:hi, 0])
-                yield row | {"counts": _pack(some, np.uint32), "extra": sums[lo:hi][some].tobytes()}
+                places = np.diff(some, prepend=0).astype(np.uint32)
+                yield row | {"counts": _planes(places), "extra": _planes(sums[lo:hi][some].ravel())}
 
 
 def _table(rows: list[dict], ddl: str) -> pa.Table:
@@ -268,14 +272,14 @@ def _weights(rows: list[dict]) -> list[dict]:
     mass = np.zeros((len(kinds), 2))
     begin = 0
     for r in rows:
-        some = at[begin + np.frombuffer(r["counts"], np.uint32)]
-        mass[some] += np.frombuffer(r["extra"], np.float64).reshape(-1, 2)
+        some = at[begin + np.cumsum(_from_planes(r["counts"], np.uint32), dtype=np.int64)]
+        mass[some] += _from_planes(r["extra"], np.float64).reshape(-1, 2)
         begin += r["n"]
     left = 1 - mass[:, 0]
     alpha = np.where(left > 1e-9, left, -1.0) / np.maximum(1 - mass[:, 1], 1e-12)
     out, begin = [], 0
     for r in rows:
-        answer = alpha[at[begin : begin + r["n"]]].tobytes()
+        answer = _planes(alpha[at[begin : begin + r["n"]]])
         out.append({"answer": answer, "tally": None} | {k: r[k] for k in ("kind", "block", "bucket")})
         begin += r["n"]
     return out
@@ -395,8 +399,8 @@ def _known(left: pa.Table, right: pa.Table) -> dict:
     """A block's row with its answers unpacked, each in the order of the block's keys."""
     row = left.to_pylist()[0]
     for r in sorted(right.to_pylist(), key=lambda r: r["bucket"]):
-        part = np.frombuffer(r["answer"], np.float64) if r["kind"].startswith("mass") else _from_planes(r["answer"], np.uint64)
-        row.setdefault(r["kind"], []).append(part)
+        kind = np.float64 if r["kind"].startswith("mass") else np.uint64
+        row.setdefault(r["kind"], []).append(_from_planes(r["answer"], kind))
     return {k: np.concatenate(v) if isinstance(v, list) else v for k, v in row.items()}
 
 
