@@ -37,7 +37,7 @@ _BLOCK = (
     "block long, tokens long, doc_ids binary, null_ids binary, held_out binary, lengths binary, words binary, "
     "learned binary, text binary"
 )
-_REQUEST = "kind string, bucket int, block long, n long, keys binary, counts binary, extra binary"
+_REQUEST = "kind string, bucket int, block long, n long, keys binary, counts binary, extra binary, used binary"
 _ANSWER = "kind string, block long, bucket int, answer binary, tally array<long>"
 
 
@@ -202,19 +202,31 @@ def _levels(row: dict, order: int) -> tuple[Block, list[Level]]:
     return block, levels
 
 
-def _requests(kind: str, block_id: int, keys: np.ndarray, counts: np.ndarray | None, sums: np.ndarray | None, buckets: int):
-    """One row per bucket: its run of keys with their counts, or with those of the sums that are not zero."""
+def _requests(
+    kind: str,
+    block_id: int,
+    keys: np.ndarray,
+    counts: np.ndarray | None,
+    masses: list[np.ndarray] | None,
+    buckets: int,
+):
+    """One row per bucket: its run of keys with their counts, or with those of the sums that are not zero.
+
+    ``masses`` are the sums of each key and whether the block will back off from it.
+    """
     cut = _cut(keys, buckets)
     for b in range(buckets):
         lo, hi = cut[b], cut[b + 1]
         if hi > lo:
             row = {"kind": kind, "bucket": b, "block": block_id, "n": int(hi - lo), "keys": _pack_keys(keys[lo:hi])}
-            if sums is None:
-                yield row | {"counts": _planes(counts[lo:hi]), "extra": None}
+            if masses is None:
+                yield row | {"counts": _planes(counts[lo:hi]), "extra": None, "used": None}
             else:
-                some = np.flatnonzero(sums[lo:hi, 0])
+                sums, used = masses[0][lo:hi], masses[1][lo:hi]
+                some = np.flatnonzero(sums[:, 0])
                 places = np.diff(some, prepend=0).astype(np.uint32)
-                yield row | {"counts": _planes(places), "extra": _planes(sums[lo:hi][some].ravel())}
+                packed = {"counts": _planes(places), "extra": _planes(sums[some].ravel())}
+                yield row | packed | {"used": _planes(np.packbits(used))}
 
 
 def _table(rows: list[dict], ddl: str) -> pa.Table:
@@ -265,7 +277,8 @@ def _sum_counts(rows: list[dict]) -> list[dict]:
 def _weights(rows: list[dict]) -> list[dict]:
     """Backoff weights from the masses that all blocks sent, answered to each of them.
 
-    A history whose n-grams use up all of its probability gets a negative answer: see ``Model.weight``.
+    A history whose n-grams use up all of its probability gets a negative answer: see ``Model.weight``. A block that
+    never backs off from a history gets only the sign, which packs to almost nothing.
     """
     keys = [_unpack_keys(r["keys"]) for r in rows]
     kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -279,7 +292,9 @@ def _weights(rows: list[dict]) -> list[dict]:
     alpha = np.where(left > 1e-9, left, -1.0) / np.maximum(1 - mass[:, 1], 1e-12)
     out, begin = [], 0
     for r in rows:
-        answer = _planes(alpha[at[begin : begin + r["n"]]])
+        answer = alpha[at[begin : begin + r["n"]]]
+        used = np.unpackbits(_from_planes(r["used"], np.uint8), count=r["n"]).astype(bool)
+        answer = _planes(np.where(used, answer, np.sign(answer)))
         out.append({"answer": answer, "tally": None} | {k: r[k] for k in ("kind", "block", "bucket")})
         begin += r["n"]
     return out
@@ -356,31 +371,37 @@ def _history(block: Block, level: Level) -> np.ndarray:
     return at
 
 
+def _backoffs(block: Block, levels: list[Level], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per token its history of order ``n - 1`` or -1, and whether its n-gram is frequent, so that nothing is backed off."""
+    level, below = levels[n - 1], levels[n - 2]
+    history = np.full(len(block.text), -1, np.int64)
+    history[1:] = below.grams.at[:-1]
+    history[block.place() < n - 1] = -1
+    at = level.grams.at
+    return history, (history >= 0) & (at >= 0) & np.append(level.count >= LEAST_COUNT, False)[at]
+
+
 def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -> np.ndarray:
     """Per token its probability under the highest of the levels, by recursion from order one up."""
-    place = block.place()
     prob = model.unigram(levels[0].count)[levels[0].grams.at]
     for n in range(2, len(levels) + 1):
         level, below = levels[n - 1], levels[n - 2]
-        history = np.full(len(block.text), -1, np.int64)
-        history[1:] = below.grams.at[:-1]
-        history[place < n - 1] = -1
+        history, seen = _backoffs(block, levels, n)
         known = history >= 0
         # only a history that is frequent itself can have frequent n-grams; of the others nothing was asked
         answer = np.ones(len(below.count))
         answer[below.count >= LEAST_COUNT] = row.get(f"mass{n}", np.zeros(0))
         weight, factor = model.weight(answer, below.count)
         prob[known] *= weight[history[known]]
-        at = level.grams.at
-        seen = known & (at >= 0) & np.append(level.count >= LEAST_COUNT, False)[at]
-        c = level.count[at[seen]]
+        c = level.count[level.grams.at[seen]]
         h = history[seen]
         prob[seen] = factor[h] * model.factor(n, c) * c / below.count[h]
     return prob
 
 
-def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Per frequent history of ``order``: the discounted mass of its n-grams this block speaks for, and their mass one order below."""
+def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per frequent history of ``order``: the discounted mass of its n-grams this block speaks for and their mass one
+    order below, and whether any token of the block backs off from it."""
     block, levels = _levels(row, order)
     level, below = levels[-1], levels[-2]
     lower = _probabilities(block, levels[:-1], model, row)
@@ -391,8 +412,11 @@ def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray
     high = model.factor(order, c) * c / below.count[history]
     n = len(below.grams.keys)
     sums = [np.bincount(history, x, minlength=n) for x in (high, lower[ends])]
+    before, seen = _backoffs(block, levels, order)
+    used = np.zeros(n, bool)
+    used[before[(before >= 0) & ~seen]] = True
     frequent = below.count >= LEAST_COUNT
-    return below.grams.keys[frequent], np.column_stack(sums)[frequent]
+    return below.grams.keys[frequent], np.column_stack(sums)[frequent], used[frequent]
 
 
 def _known(left: pa.Table, right: pa.Table) -> dict:
@@ -418,8 +442,8 @@ def _ask(count: int | None, mass: int | None, model: Model, buckets: int):
                 counts = np.bincount(used, minlength=len(grams.keys)).astype(np.uint32)
                 rows += _requests(f"count{count}", row["block"], grams.keys, counts, None, buckets)
             if mass:
-                keys, sums = _masses(row, mass, model)
-                rows += _requests(f"mass{mass}", row["block"], keys, None, sums, buckets)
+                keys, *masses = _masses(row, mass, model)
+                rows += _requests(f"mass{mass}", row["block"], keys, None, masses, buckets)
         return _table(rows, _REQUEST)
 
     return run
