@@ -114,10 +114,51 @@ def has_permission(permissions: Column, groups: Column, permission: str) -> Colu
     return held | F.array_contains(prefix_groups(groups), ADMIN_CLAIM)
 
 
-def page(df: DataFrame, number: int, size: int, key: str = "id") -> DataFrame:
-    """Page ``number`` (from 0) in id order; negative numbers and sizes are clamped."""
+def page(df: DataFrame, number: int, size: int, key: str = "id", shallow: int = 10_000) -> DataFrame:
+    """Page ``number`` (from 0) in key order, NULL keys first; negative numbers and sizes are clamped.
+
+    A plain offset keeps every earlier row in one task. A page that starts after more than ``shallow`` rows is
+    therefore looked up by range first, so that only rows near its start are ordered; the rows are the same.
+    """
     take = max(1, size)
-    return df.orderBy(key).offset(max(0, number) * take).limit(take)
+    start = max(0, number) * take
+    if start > shallow:
+        df, start = _near(df, start, key, shallow)
+    return df.orderBy(key).offset(start).limit(take)
+
+
+def page_after(df: DataFrame, last: object, size: int, key: str = "id") -> DataFrame:
+    """The page after the one that ended at key ``last``; one scan and a bounded top-n at any depth."""
+    return df.where(F.col(key) > F.lit(last)).orderBy(key).limit(max(1, size))
+
+
+def _near(df: DataFrame, start: int, key: str, shallow: int) -> tuple[DataFrame, int]:
+    """Leave out rows before the key range that holds row ``start``, and say how many of the others still precede it.
+
+    Each round counts the rows of every key range (one row per partition comes back) and goes on inside the range with
+    the wanted row, until few rows precede it there or all rows left share one key.
+    """
+    spark = df.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    inside, low = df.select(F.col(key).alias("key")), None
+    while start > shallow:
+        dealt = inside.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id())
+        counted = dealt.groupBy("part").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+        ranges = counted.orderBy("part").collect()
+        at = 0
+        while at < len(ranges) and ranges[at]["n"] <= start:
+            start -= ranges[at]["n"]
+            at += 1
+        if at == len(ranges):
+            return df.where(F.lit(False)), 0
+        if at:
+            low = ranges[at]["first"]
+            inside = inside.where(F.col("key") >= F.lit(low))
+        if at + 1 < len(ranges):
+            inside = inside.where(F.col("key").isNull() | (F.col("key") < F.lit(ranges[at + 1]["first"])))
+        if len(ranges) == 1:
+            break
+    return (df if low is None else df.where(F.col(key) >= F.lit(low))), start
 
 
 # --- set changes ------------------------------------------------------------

@@ -129,6 +129,16 @@ def _(s: Source) -> DataFrame:
     return A.page(s.view("users"), 2, 20).select("id", "full_name")
 
 
+@query("topk2_deep_page", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 1200")
+def _(s: Source) -> DataFrame:
+    return A.page(s.table("orders"), 60, 20, "o_orderkey", shallow=100).select("o_orderkey", "o_custkey")
+
+
+@query("topk2_page_after", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 20")
+def _(s: Source) -> DataFrame:
+    return A.page_after(s.table("orders"), 700, 20, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
 @query("rd2_find_role", f"SELECT id, name, deleted, permissions FROM {ROLE_SETS} WHERE name = 'RESEARCHER'")
 def _(s: Source) -> DataFrame:
     _, _, roles, rp, p = graph(s)

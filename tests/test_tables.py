@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +202,30 @@ def test_page_clamps(spark):
     assert [r[0] for r in A.page(df, 2, 0).collect()] == [2]
 
 
+def test_deep_page_keeps_few_rows(spark):
+    found = A.page(spark.range(200_000), 9_000, 20)
+    assert [r[0] for r in found.collect()] == list(range(180_000, 180_020))
+    kept = re.findall(r"TakeOrderedAndProject\(limit=(\d+)", found._jdf.queryExecution().toString())
+    assert kept and all(int(n) <= 10_020 for n in kept)
+
+
+@pytest.mark.parametrize("number", [0, 1, 4, 9, 29, 30, 32, 33, 500])
+def test_deep_page_of_null_and_repeated_keys(spark, number):
+    keys = [None] * 30 + [i // 40 for i in range(200)] + list(range(5, 105))
+    df = spark.createDataFrame([(k,) for k in keys], "id INT").repartition(5)
+    want = sorted(keys, key=lambda k: (k is not None, k))[10 * number : 10 * number + 10]
+    assert [r[0] for r in A.page(df, number, 10, shallow=7).collect()] == want
+
+
+def test_deep_page_of_an_empty_table(spark):
+    assert A.page(spark.range(0), 50, 20, shallow=7).collect() == []
+
+
+def test_page_after(spark):
+    assert [r[0] for r in A.page_after(spark.range(50), 41, 5).collect()] == [42, 43, 44, 45, 46]
+    assert A.page_after(spark.range(50), 49, 5).collect() == []
+
+
 def test_role_matrix_sizes():
     assert {k: len(set(v)) for k, v in A.ROLE_MATRIX.items()} == {
         "ADMIN": 70, "LAB_LEADER": 57, "SENIOR_RESEARCHER": 35, "RESEARCHER": 28, "AI_QUALITY_ASSISTANT": 11,
