@@ -5,6 +5,9 @@ positions in that list. Whatever needs the whole corpus is an exchange: a block
 range into buckets; a bucket adds up what all blocks sent; and each block gets an answer in the order of its keys. A
 key is one entry for a block however often it occurs, so a very frequent word or word pair is no hot key, and both
 the blocks and the buckets keep their size as the corpus grows: there are only more of them.
+
+A key that a single block has is its own matter: so is every longer n-gram with that key in it, and the block counts
+and weighs them by itself. Most rare n-grams are of this kind and never enter an exchange.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ BUCKET_KEYS = 1_000_000
 #: Counts above this are not discounted.
 TOP_COUNT = 5
 #: N-grams of order two and up that occur less often are left to the lower order.
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _ORDER = stream(16, 11) | np.uint64(1)
@@ -37,7 +40,9 @@ _BLOCK = (
     "block long, tokens long, doc_ids binary, null_ids binary, held_out binary, lengths binary, words binary, "
     "learned binary, text binary"
 )
-_REQUEST = "kind string, bucket int, block long, n long, keys binary, counts binary, extra binary, used binary"
+_REQUEST = (
+    "kind string, bucket int, block long, n long, keys binary, counts binary, extra binary, used binary, tally array<long>"
+)
 _ANSWER = "kind string, block long, bucket int, answer binary, tally array<long>"
 
 
@@ -168,19 +173,34 @@ def _grams(block: Block, keep: np.ndarray, previous: np.ndarray, order: int) ->
     return Grams(keys, at)
 
 
+def _history(block: Block, grams: Grams) -> np.ndarray:
+    """For every n-gram one token at which it ends."""
+    found = np.flatnonzero(grams.at >= 0)
+    at = np.zeros(len(grams.keys), np.int64)
+    at[grams.at[found]] = found
+    return at
+
+
 @dataclass
 class Level:
-    """What a block knows of one order: the count of each of its n-grams, and which of them it speaks for."""
+    """What a block knows of one order: the count of each of its n-grams, and which of them it speaks for.
+
+    ``alone`` are those that no other block has; for ``local`` ones that is known from their parts, and nothing is asked.
+    ``own`` are the counts in the block.
+    """
 
     grams: Grams
     count: np.ndarray
     owner: np.ndarray
+    alone: np.ndarray
+    local: np.ndarray
+    own: np.ndarray
 
 
 def _levels(row: dict, order: int) -> tuple[Block, list[Level]]:
     """Rebuild the orders up to ``order`` from the answers a block has; the last may still lack its answer."""
     block = Block.of(row)
-    place = block.place()
+    place, learned = block.place(), block.learned()
     levels: list[Level] = []
     hashes = block.words[block.text]
     for n in range(1, order + 1):
@@ -197,8 +217,18 @@ def _levels(row: dict, order: int) -> tuple[Block, list[Level]]:
             hashes = np.zeros(len(block.text), np.uint64)
             found = grams.at >= 0
             hashes[found] = grams.keys[grams.at[found]]
-        packed = row.get(f"count{n}", np.zeros(0, np.uint64))
-        levels.append(Level(grams, (packed >> np.uint64(1)).astype(np.int64), (packed & np.uint64(1)).astype(bool)))
+        own = np.bincount(grams.at[learned & (grams.at >= 0)], minlength=len(grams.keys)).astype(np.int64)
+        local = np.zeros(len(grams.keys), bool)
+        if n > 1:
+            ends = _history(block, grams)
+            local = below.alone[below.grams.at[ends]] | below.alone[below.grams.at[ends - 1]]
+        level = Level(grams, np.where(local, own, 0), local & (own > 0), local.copy(), local, own)
+        if f"count{n}" in row:
+            packed = row[f"count{n}"]
+            level.count[~local] = packed >> np.uint64(2)
+            level.alone[~local] = packed & np.uint64(2)
+            level.owner[~local] = packed & np.uint64(1)
+        levels.append(level)
     return block, levels
 
 
@@ -220,13 +250,13 @@ def _requests(
         if hi > lo:
             row = {"kind": kind, "bucket": b, "block": block_id, "n": int(hi - lo), "keys": _pack_keys(keys[lo:hi])}
             if masses is None:
-                yield row | {"counts": _planes(counts[lo:hi]), "extra": None, "used": None}
+                yield row | {"counts": _planes(counts[lo:hi]), "extra": None, "used": None, "tally": None}
             else:
                 sums, used = masses[0][lo:hi], masses[1][lo:hi]
                 some = np.flatnonzero(sums[:, 0])
                 places = np.diff(some, prepend=0).astype(np.uint32)
                 packed = {"counts": _planes(places), "extra": _planes(sums[some].ravel())}
-                yield row | packed | {"used": _planes(np.packbits(used))}
+                yield row | packed | {"used": _planes(np.packbits(used)), "tally": None}
 
 
 def _table(rows: list[dict], ddl: str) -> pa.Table:
@@ -248,8 +278,20 @@ def _word_requests(buckets: int):
     return run
 
 
+def _tally(count: np.ndarray) -> list[int]:
+    """The sum of the counts, and how many there are of 1, 2, ... up to TOP_COUNT + 1, and above."""
+    often = np.bincount(np.minimum(count, TOP_COUNT + 2).astype(np.int64), minlength=TOP_COUNT + 3)
+    return [int(count.sum()), *(int(x) for x in often[1:])]
+
+
 def _sum_counts(rows: list[dict]) -> list[dict]:
-    """Answers for the blocks of a bucket: twice the summed count, plus one for the first block that learned the key."""
+    """Answers for the blocks of a bucket: four times the summed count, plus two if no other block has the key, plus
+    one for the first block that learned it."""
+    sent = [r["tally"] for r in rows if r["tally"] is not None]
+    whole = {"kind": rows[0]["kind"], "block": None, "bucket": rows[0]["bucket"], "answer": None}
+    rows = [r for r in rows if r["tally"] is None]
+    if not rows:
+        return [whole | {"tally": np.sum(sent, axis=0).tolist()}]
     keys = np.concatenate([_unpack_keys(r["keys"]) for r in rows])
     counts = np.concatenate([_from_planes(r["counts"], np.uint32) for r in rows]).astype(np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -263,17 +305,22 @@ def _sum_counts(rows: list[dict]) -> list[dict]:
     owner = np.zeros(len(keys), np.uint64)
     owner[learned[first]] = 1
     packed = np.empty(len(keys), np.uint64)
-    packed[order] = (total[group] << np.uint64(1)) | owner
-    often = np.bincount(np.minimum(total, TOP_COUNT + 2).astype(np.int64), minlength=TOP_COUNT + 3)
-    tally = [int(total.sum()), *(int(x) for x in often[1:])]
+    alone = (np.bincount(group) == 1).astype(np.uint64)
+    packed[order] = (total[group] << np.uint64(2)) | (alone[group] << np.uint64(1)) | owner
     out, at = [], 0
     for r in rows:
         out.append({"answer": _planes(packed[at : at + r["n"]]), "tally": None} | {k: r[k] for k in ("kind", "block", "bucket")})
         at += r["n"]
-    out.append({"kind": rows[0]["kind"], "block": None, "bucket": rows[0]["bucket"], "answer": None, "tally": tally})
+    out.append(whole | {"tally": np.sum([_tally(total), *sent], axis=0).tolist()})
     return out
 
 
+def _alpha(mass: np.ndarray) -> np.ndarray:
+    """Backoff weight of each history from its mass and the mass one order below, negative where none is left."""
+    left = 1 - mass[:, 0]
+    return np.where(left > 1e-9, left, -1.0) / np.maximum(1 - mass[:, 1], 1e-12)
+
+
 def _weights(rows: list[dict]) -> list[dict]:
     """Backoff weights from the masses that all blocks sent, answered to each of them.
 
@@ -288,8 +335,7 @@ def _weights(rows: list[dict]) -> list[dict]:
         some = at[begin + np.cumsum(_from_planes(r["counts"], np.uint32), dtype=np.int64)]
         mass[some] += _from_planes(r["extra"], np.float64).reshape(-1, 2)
         begin += r["n"]
-    left = 1 - mass[:, 0]
-    alpha = np.where(left > 1e-9, left, -1.0) / np.maximum(1 - mass[:, 1], 1e-12)
+    alpha = _alpha(mass)
     out, begin = [], 0
     for r in rows:
         answer = alpha[at[begin : begin + r["n"]]]
@@ -363,14 +409,6 @@ def _learned_ngrams(order: int):
     return run
 
 
-def _history(block: Block, level: Level) -> np.ndarray:
-    """For every n-gram of the level one token at which it ends."""
-    found = np.flatnonzero(level.grams.at >= 0)
-    at = np.zeros(len(level.grams.keys), np.int64)
-    at[level.grams.at[found]] = found
-    return at
-
-
 def _backoffs(block: Block, levels: list[Level], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Per token its history of order ``n - 1`` or -1, and whether its n-gram is frequent, so that nothing is backed off."""
     level, below = levels[n - 1], levels[n - 2]
@@ -381,6 +419,18 @@ def _backoffs(block: Block, levels: list[Level], n: int) -> tuple[np.ndarray, np
     return history, (history >= 0) & (at >= 0) & np.append(level.count >= LEAST_COUNT, False)[at]
 
 
+def _sums(block: Block, levels: list[Level], model: Model, n: int, lower: np.ndarray) -> np.ndarray:
+    """Per history of order ``n - 1`` the discounted mass of its n-grams this block speaks for, and their mass one
+    order below; ``lower`` are the tokens' probabilities there."""
+    level, below = levels[n - 1], levels[n - 2]
+    mine = np.flatnonzero(level.owner & (level.count >= LEAST_COUNT))
+    ends = _history(block, level.grams)[mine]
+    history = below.grams.at[ends - 1]
+    c = level.count[mine]
+    high = model.factor(n, c) * c / below.count[history]
+    return np.column_stack([np.bincount(history, x, minlength=len(below.count)) for x in (high, lower[ends])])
+
+
 def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -> np.ndarray:
     """Per token its probability under the highest of the levels, by recursion from order one up."""
     prob = model.unigram(levels[0].count)[levels[0].grams.at]
@@ -390,7 +440,10 @@ def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -
         known = history >= 0
         # only a history that is frequent itself can have frequent n-grams; of the others nothing was asked
         answer = np.ones(len(below.count))
-        answer[below.count >= LEAST_COUNT] = row.get(f"mass{n}", np.zeros(0))
+        frequent = below.count >= LEAST_COUNT
+        answer[frequent & ~below.alone] = row.get(f"mass{n}", np.zeros(0))
+        mine = frequent & below.alone
+        answer[mine] = _alpha(_sums(block, levels, model, n, prob)[mine])
         weight, factor = model.weight(answer, below.count)
         prob[known] *= weight[history[known]]
         c = level.count[level.grams.at[seen]]
@@ -400,23 +453,16 @@ def _probabilities(block: Block, levels: list[Level], model: Model, row: dict) -
 
 
 def _masses(row: dict, order: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per frequent history of ``order``: the discounted mass of its n-grams this block speaks for and their mass one
-    order below, and whether any token of the block backs off from it."""
+    """Per frequent history of ``order`` that other blocks have too: its ``_sums``, and whether any token of the block
+    backs off from it."""
     block, levels = _levels(row, order)
-    level, below = levels[-1], levels[-2]
-    lower = _probabilities(block, levels[:-1], model, row)
-    mine = np.flatnonzero(level.owner & (level.count >= LEAST_COUNT))
-    ends = _history(block, level)[mine]
-    history = below.grams.at[ends - 1]
-    c = level.count[mine]
-    high = model.factor(order, c) * c / below.count[history]
-    n = len(below.grams.keys)
-    sums = [np.bincount(history, x, minlength=n) for x in (high, lower[ends])]
+    below = levels[-2]
+    sums = _sums(block, levels, model, order, _probabilities(block, levels[:-1], model, row))
     before, seen = _backoffs(block, levels, order)
-    used = np.zeros(n, bool)
+    used = np.zeros(len(below.count), bool)
     used[before[(before >= 0) & ~seen]] = True
-    frequent = below.count >= LEAST_COUNT
-    return below.grams.keys[frequent], np.column_stack(sums)[frequent], used[frequent]
+    asked = (below.count >= LEAST_COUNT) & ~below.alone
+    return below.grams.keys[asked], sums[asked], used[asked]
 
 
 def _known(left: pa.Table, right: pa.Table) -> dict:
@@ -436,11 +482,14 @@ def _ask(count: int | None, mass: int | None, model: Model, buckets: int):
         if left.num_rows:
             row = _known(left, right)
             if count:
-                block, levels = _levels(row, count)
-                grams = levels[-1].grams
-                used = grams.at[(grams.at >= 0) & block.learned()]
-                counts = np.bincount(used, minlength=len(grams.keys)).astype(np.uint32)
-                rows += _requests(f"count{count}", row["block"], grams.keys, counts, None, buckets)
+                level = _levels(row, count)[1][-1]
+                kind, ask = f"count{count}", ~level.local
+                counts = level.own[ask].astype(np.uint32)
+                rows += _requests(kind, row["block"], level.grams.keys[ask], counts, None, buckets)
+                # what the block counts by itself
+                none = dict.fromkeys(("keys", "counts", "extra", "used"))
+                at = {"kind": kind, "bucket": row["block"] % buckets, "block": row["block"], "n": 0}
+                rows.append(at | none | {"tally": _tally(level.own[level.local])})
             if mass:
                 keys, *masses = _masses(row, mass, model)
                 rows += _requests(f"mass{mass}", row["block"], keys, None, masses, buckets)
@@ -493,10 +542,9 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
     at probability one. An empty table gives an empty result.
 
     Order one is Good-Turing discounted, and what that frees belongs to the unknown word. An n-gram of a higher order
-    is used from LEAST_COUNT occurrences on, discounted for counts up to TOP_COUNT; the number of n-grams that occur
-    once, which the discounts need, follows from the tokens of that order. Backoff weights make each history's
+    is used from LEAST_COUNT occurrences on (one: all of them), discounted for counts up to TOP_COUNT. Backoff weights make each history's
     probabilities add up to one exactly. An n-gram can only be that frequent if its parts are, so only those whose
-    parts were found to be are counted at all.
+    parts were found to be are counted at all; of those of which one block alone has a part, the block counts itself.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
@@ -546,7 +594,7 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
         if n <= order:
             total, *often = tally.get(f"count{n}", [0])
             found = dict(enumerate(often, 1))
-            # an n-gram that was not counted has a part that occurs once, so it occurs once
+            # an n-gram that was not counted has a part that is not frequent, so it occurs once; LEAST_COUNT 1 leaves none
             found[1] = found.get(1, 0) + possible[n] - total
             model.factors[n] = discounts(found)
     return scratch.finish(with_answers(_score(order, model), _SCORES))

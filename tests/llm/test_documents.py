@@ -180,6 +180,20 @@ def test_katz_scores_of_the_test_table(spark, given, texts):
         assert r["n_known"] == sum((w,) in count[1] for w in t) and r["held_out"] == held[r["doc_id"]]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_katz_counts_what_occurs_once(spark, given, texts, parts, monkeypatch):
+    """The brute force has no cut; in several blocks some n-grams are shared and some are in one block alone."""
+    monkeypatch.setattr(katz, "LEAST_COUNT", 1)
+    tokens = {i: [*h.words(t), "\n"] for i, t in texts.items()}
+    p, count, _ = _katz([t for i, t in tokens.items() if i % 5])
+    assert sum(c == 1 for c in count[3].values()) > len(count[3]) / 2
+    rows = katz.katz_scores(given.repartition(parts), F.col("doc_id") % 5 == 0).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = tokens[r["doc_id"]]
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]))) for i in range(len(t))), rel_tol=1e-7)
+
+
 def test_backoff_is_normalised():
     train = [t.split() + ["\n"] for t in ("a b a b c", "a b d", "b c a b", "d d d d d d d d", "c a b a b")]
     p, count, _ = _katz(train)
