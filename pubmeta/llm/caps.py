@@ -207,8 +207,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         & F.exists("embedding", lambda x: x != 0)
     )
     usable = base.where(F.coalesce(good, F.lit(False)))
+    # a number of its own for each class, as two vectors may share a vec_id; it is fixed by being written
     classes = scratch.table(
-        usable.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")),
+        usable.groupBy("label", "dim", "embedding")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     nodes = scratch.table(
@@ -242,11 +245,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     keys = [*bucket, "pa", "pb"]
     dealt = placed.join(payload, "node").select(*keys, "side", "node", "weight", "vec", "filters")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    found = scratch.table(dealt.mapInArrow(_links(cosine), "node long, links long, root long"), "links")
-    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    edges = found.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
+    links = scratch.table(dealt.mapInArrow(_links(cosine), "node long, links long, root long"), "links")
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = links.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
     component = connected_components(edges, scratch)
-    known = (
+    found = scratch.table(
         classes.join(counted, "node", "left")
         .join(component, classes.node == component.id, "left")
         .select(
@@ -254,9 +257,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
             "dim",
             "embedding",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        )
+            "least",
+            F.coalesce("component", "node").alias("part"),
+        ),
+        "found",
     )
+    smallest = found.groupBy("part").agg(F.min("least").alias("component_id"))
+    known = found.join(smallest, "part").drop("part", "least")
     out = (
         base.withColumn("good", F.coalesce(good, F.lit(False)))
         .withColumn("label", F.when(F.col("good"), F.col("label")))

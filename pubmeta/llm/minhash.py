@@ -112,12 +112,13 @@ def _sketches(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(first, pa.int64()),
                         pa.array(second, pa.int64()),
                         pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
+                    names=["doc_id", "row", "n_shingles", "set_a", "set_b", "registers"],
                 )
 
     return run
@@ -198,6 +199,11 @@ def _verified(words: int, percent: int):
     return run
 
 
+def _row(docs: DataFrame) -> Column:
+    """64-bit hash of a row's id and text, by which a text is found again; an id may have several texts."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -207,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     the row is kept. Rows that repeat a doc_id are each judged by their own text. An empty table gives an empty result.
 
     1. Documents with equal sets (128 bits over the whole set and its size) become one node, grouped with map-side
-       combine. 2. HyperMinHash registers are cut into bands. In each band bucket all members are paired with one
+       combine and named by the hash of one of its rows; the smallest doc_id is looked up for whole components. 2. HyperMinHash registers are cut into bands. In each band bucket all members are paired with one
        only, the one that meets most others over all bands, and each document takes its two best pairs by estimate
        to the check on whole sets.
     3. With the components so far, every pair of different components that still shares a bucket is compared, so a
@@ -215,20 +221,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        lost but by the banding itself. Buckets are dealt out in pairs of pieces of about PIECE members; registers
        are compared inside the task, and only pairs that are near by estimate are written and checked. 4. Components of all links.
     """
+    return _judged(docs, words, percent).drop("row")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the ``_row`` of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text").cast("string").alias("text")
+    )
     sketches = scratch.table(
         text.mapInArrow(
-            _sketches(words), "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+            _sketches(words), "doc_id long, row long, n_shingles long, set_a long, set_b long, registers binary"
         ),
         "sketches",
     )
     key = ["n_shingles", "set_a", "set_b"]
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(usable.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.table(usable.groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = scratch.table(
-        usable.join(classes, key).where("doc_id = node").select("node", "registers").dropDuplicates(["node", "registers"]),
+        usable.join(classes, key).where("row = node").select("node", "registers").dropDuplicates(["node", "registers"]),
         "nodes",
     )
     banded = nodes.mapInArrow(_explode_bands, "band long, node long").distinct()
@@ -237,8 +250,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # how many others a node meets; the original of many edited copies meets more than any of the copies
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
     members = scratch.table(members.select("band", "node").join(met, "node"), "members")
-    hubs = members.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("id"))).alias("hub"))
-    hubs = scratch.table(hubs.select("band", (-F.col("hub.id")).alias("hub")), "hubs")
+    hubs = members.groupBy("band").agg(F.max(F.struct("met", "node")).alias("hub"))
+    hubs = scratch.table(hubs.select("band", F.col("hub.node").alias("hub")), "hubs")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         left = nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra"))
@@ -248,8 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return near.where(F.col("estimate") >= percent / 100 - MARGIN)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        left = text.select(F.col("row").alias("a"), F.col("text").alias("ta"))
+        right = text.select(F.col("row").alias("b"), F.col("text").alias("tb"))
         both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return both.mapInArrow(_verified(words, percent), "a long, b long, linked boolean")
 
@@ -305,11 +318,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = later.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     component = connected_components(links.union(more), scratch)
 
-    named = classes.join(component, classes.node == component.id, "left").select(
-        *key, F.coalesce("component", "node").alias("class_component")
+    found = scratch.table(
+        classes.join(component, classes.node == component.id, "left").select(
+            *key, "least", F.coalesce("component", "node").alias("part")
+        ),
+        "found",
     )
+    smallest = found.groupBy("part").agg(F.min("least").alias("class_component"))
+    named = found.join(smallest, "part").select(*key, "class_component")
     out = sketches.join(named, key, "left")
     out = out.select(
+        "row",
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNull(), None)
@@ -323,9 +342,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns: the one whose doc_id names the component.
 
-    An id goes when none of its rows is kept, so an id that is used for several texts stays if one of them does.
+    Of an id that is used for several texts, each text goes or stays by itself; texts that are near to each other under
+    the id that names their component all stay.
     """
-    result = near_duplicates(docs, words, percent)
-    gone = result.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any")
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = _judged(docs, words, percent).where("not kept").select(F.col("row").alias("_gone")).distinct()
+    return docs.join(gone, _row(docs) == gone["_gone"], "left_anti")

@@ -212,6 +212,17 @@ def test_katz_scores_of_awkward_rows(spark):
     assert {r["score"] for r in none} == {0.0} and {r["train_tokens"] for r in none} == {0}
 
 
+def test_one_id_with_two_texts(spark):
+    """Text A of document 5 is near document 1, text B is like nothing else, and C and D of document 7 make a component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a + " more"), (5, a), (5, b), (7, c), (7, c + " end"), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, words=4).collect())
+    assert got == {(1, 58, 1, True): 1, (5, 57, 1, False): 1, (5, 57, 5, True): 1, (7, 57, 7, True): 1, (7, 58, 7, True): 1, (9, 57, 7, False): 1}
+    left = Counter(tuple(r) for r in minhash.distinct_documents(docs, words=4).collect())
+    assert left == Counter([rows[0], rows[2], rows[3], rows[4]])
+
+
 # packing
 
 

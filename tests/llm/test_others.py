@@ -93,6 +93,15 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_one_id_with_two_vectors(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 64))
+    rows = [(1, x), (5, x + 0.05 * y), (5, y), (6, y + 0.05 * x), (8, y - 0.05 * x)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in caps.near_vectors(df).collect())
+    assert got == {(1, 1, 1, True): 1, (5, 1, 1, False): 1, (5, 2, 5, True): 1, (6, 2, 5, False): 1, (8, 2, 5, False): 1}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert caps.near_vectors(df).count() == 0
