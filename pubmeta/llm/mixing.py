@@ -12,7 +12,8 @@ from pubmeta.llm.common import Scratch, n_words
 #: A document is taken at most so often, and a source at most so many times its size.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-#: Words left for the dynamic programme, which runs over sums up to this and one longest document more.
+#: Words left for the dynamic programme, which runs over sums up to twice this. A document longer than what is left
+#: can only be nearest by itself, so it is compared apart.
 WINDOW = 1 << 15
 
 
@@ -43,7 +44,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     Every length first gives its share of the budget, rounded down, and then the longest that fit are added until less
     than WINDOW is left. What is left is a bounded knapsack over the documents not yet taken of at most that length:
     each length is split into packets of 1, 2, 4, ... documents, the reachable sums are bits of one integer, and the
-    nearest reachable sum is traced back.
+    nearest reachable sum is traced back. If the shortest longer document overshoots by less, it is taken instead.
     """
     total = int((lengths * counts).sum())
     taken = (counts * min(budget, total) // max(total, 1)).astype(np.int64)
@@ -68,6 +69,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             break
     sums = [s for d in range(left + 1) for s in (left - d, left + d) if reached[-1] >> s & 1][:1]
     goal = sums[0] if sums else 0
+    longer = np.flatnonzero((counts > taken) & (lengths > left))
+    if left > 0 and len(longer):
+        i = longer[np.argmin(lengths[longer])]
+        if int(lengths[i]) - left < abs(left - goal):
+            taken[i] += 1
+            return taken
     for (i, k, words), before in zip(packets[: len(reached) - 1][::-1], reached[:-1][::-1], strict=True):
         if not before >> goal & 1:
             taken[i] += k

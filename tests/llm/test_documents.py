@@ -320,6 +320,28 @@ def test_fit_is_as_near_as_any_subset(seed, monkeypatch):
     assert abs(int((lengths * taken).sum()) - budget) <= min(abs(s - budget) for s in sums) + lengths.max()
 
 
+def test_fit_overshoots_where_that_is_nearer():
+    fit = lambda lengths, counts, budget: mixing.fit_lengths(np.array(lengths), np.array(counts), budget).tolist()
+    assert fit([1000], [1], 900) == [1] and fit([1000], [1], 500) == [0] and fit([1000], [1], 400) == [0]
+    assert fit([100_000], [3], 270_000) == [3] and fit([100_000], [3], 240_000) == [2]
+    assert fit([30, 1000], [1, 1], 940) == [0, 1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fit_is_the_nearest_with_the_proportional_part(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 400, 4))
+    counts = rng.integers(1, 4, len(lengths))
+    total = int((lengths * counts).sum())
+    budget = int(rng.integers(1, total + 1))
+    sums = {0}
+    for n, k, least in zip(lengths.tolist(), counts.tolist(), (counts * budget // total).tolist(), strict=True):
+        sums = {s + n * j for s in sums for j in range(least, k + 1)}
+    taken = mixing.fit_lengths(lengths, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    assert abs(int((lengths * taken).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
 def _check_mix(rows, texts: dict, sources: dict):
     by = defaultdict(lambda: [0, 0.0, 0])
     for r in rows:
