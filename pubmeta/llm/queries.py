@@ -15,9 +15,10 @@ from pubmeta.llm.katz import katz_scores
 from pubmeta.llm.minhash import near_duplicates
 from pubmeta.llm.mixing import mixed_documents
 from pubmeta.llm.packing import packed_sequences
-from pubmeta.llm.shards import resharded
+from pubmeta.llm.shards import resharded_files
 from pubmeta.llm.toxicity import scored_documents
 from pubmeta.llm.urls import judged_urls
+from pubmeta.sources.workspace import new_folder
 
 URL_RULES = [
     ("org/", "allow"),
@@ -47,7 +48,7 @@ def op3_toxicity_lexicon(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_reshard_min_cost_flow(spark: SparkSession, folder: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(SHARDS))
-    placed = resharded(_table(spark, folder, "documents"), old, SHARDS)
+    placed = resharded_files(_table(spark, folder, "documents"), old, new_folder(spark, "shards-files"), SHARDS)
     return placed.select(
         "doc_id",
         "size",

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pubmeta.llm.common import Scratch
 
@@ -85,36 +86,21 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assigned(starts: dict[tuple[int, int], int], edges: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """The new shard of each row: where the middle of its bytes falls in its old shard's transfers; its turn there."""
+    """The new shard of each row: where the middle of its bytes falls in its old shard's transfers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
         for batch in batches:
             shard, size = batch.column("old_shard").to_numpy(), batch.column("size").to_numpy()
             part, before = batch.column("part").to_numpy(), batch.column("before").to_numpy()
-            new, turn = np.empty(len(size), np.int32), np.empty(len(size), np.int64)
+            new = np.empty(len(size), np.int32)
             for s in np.unique(shard):
                 for p in np.unique(part[shard == s]):
                     at = np.flatnonzero((shard == s) & (part == p))
                     middle = starts[int(p), int(s)] + before[at] + size[at] / 2
                     ends, to = edges[int(s)]
                     new[at] = to[np.minimum(np.searchsorted(ends, middle, "right"), len(to) - 1)]
-            for s in np.unique(new):
-                at = new == s
-                turn[at] = seen.get(int(s), 0) + np.arange(at.sum())
-                seen[int(s)] = seen.get(int(s), 0) + int(at.sum())
-            names = ["doc_id", "size", "text_crc32", "old_shard"]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in names),
-                    pa.array(new),
-                    pa.array(np.full(len(size), task, np.int32)),
-                    pa.array(turn),
-                ],
-                names=[*names, "shard", "task", "turn"],
+                [batch.column("id"), batch.column("old_shard"), pa.array(new)], names=["id", "old_shard", "shard"]
             )
 
     return run
@@ -124,7 +110,8 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int = 8, capacity: lis
     """Move as few bytes as the new capacities allow.
 
     Takes ``doc_id long, text`` and an expression for the shard that holds each row now (0 to shards - 1; null is 0)
-    and returns ``doc_id, size, text_crc32, old_shard, shard, slot``, one row per input row. A document's size is its
+    and returns ``doc_id, size, text_crc32, old_shard, shard, slot, row``, one row per input row; ``row`` holds all columns
+    of the input. A document's size is its
     bytes in UTF-8 plus one; a null text has none. ``capacity`` defaults to equal parts and must hold the total.
     Null and repeated doc_ids are rows like any other. An empty table gives an empty result.
 
@@ -135,18 +122,19 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int = 8, capacity: lis
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    light = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        *_digest(F.col("text")),
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
-    ).withColumn("tie", F.rand(11))
-    light = scratch.table(light, "light")
+        F.rand(11).alias("tie"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
     order = ["old_shard", F.desc("size"), "tie"]
-    ddl = "doc_id long, size long, text_crc32 long, old_shard int, tie double, part int, before long"
-    sorted_ = light.repartitionByRange(*order).sortWithinPartitions(*order)
-    running = scratch.table(sorted_.mapInArrow(_running, ddl), "running")
+    # the texts stay out of Python, as the largest are next to each other; the number of a row is fixed by being written
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    sorted_ = scratch.table(sorted_.withColumn("id", F.monotonically_increasing_id()), "sorted")
+    light = sorted_.select("id", "old_shard", "size").repartitionByRange("id").sortWithinPartitions("id")
+    running = scratch.table(light.mapInArrow(_running, "id long, old_shard int, size long, part int, before long"), "running")
     starts: dict[tuple[int, int], int] = {}
     old = [0] * shards
     for r in running.groupBy("part", "old_shard").agg(F.sum("size").alias("size")).orderBy("part").collect():
@@ -154,32 +142,68 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int = 8, capacity: lis
         old[r["old_shard"]] += r["size"]
     flow = transfers(old, capacity or even_capacities(sum(old), shards))
     edges = {}
-    for i, row in enumerate(flow):
-        to = [i, *(j for j in range(shards) if j != i and row[j])] if row[i] else [j for j in range(shards) if row[j]]
-        edges[i] = (np.cumsum([row[j] for j in to]), np.array(to or [i], np.int32))
-    ddl = "doc_id long, size long, text_crc32 long, old_shard int, shard int, task int, turn long"
-    placed = scratch.table(running.mapInArrow(_assigned(starts, edges), ddl), "placed")
-    first: dict[tuple[int, int], int] = {}
-    rows = [0] * shards
-    for r in placed.groupBy("task", "shard").count().orderBy("task").collect():
-        first[r["task"], r["shard"]] = rows[r["shard"]]
-        rows[r["shard"]] += r["count"]
-    begin = spark.createDataFrame([(t, s, n) for (t, s), n in first.items()], "task int, shard int, begin long")
-    return scratch.finish(
-        placed.join(begin, ["task", "shard"]).select(
-            "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("begin") + F.col("turn")).alias("slot")
-        )
+    for i, line in enumerate(flow):
+        to = [i, *(j for j in range(shards) if j != i and line[j])] if line[i] else [j for j in range(shards) if line[j]]
+        edges[i] = (np.cumsum([line[j] for j in to]), np.array(to or [i], np.int32))
+    # in a partition the rows of an old shard that go to the same new one are a run of numbers; runs follow in slots
+    new = running.mapInArrow(_assigned(starts, edges), "id long, old_shard int, shard int")
+    runs = new.groupBy(F.shiftright("id", 33).alias("piece"), "old_shard", "shard").agg(
+        F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last")
     )
+    begin: list[tuple[int, int, int, int, int, int]] = []
+    filled = [0] * shards
+    for r in runs.orderBy("first").collect():
+        begin.append((r["piece"], r["old_shard"], r["first"], r["last"], r["shard"], filled[r["shard"]] - r["first"]))
+        filled[r["shard"]] += r["n"]
+    ddl = "piece long, old_shard int, first long, last long, shard int, offset long"
+    # broadcast, so that rows stay where they are and in order; a few rows for each partition and shard
+    runs = F.broadcast(spark.createDataFrame(begin, ddl))
+    placed = sorted_.withColumn("piece", F.shiftright("id", 33)).join(runs, ["piece", "old_shard"])
+    placed = placed.where(F.col("id").between(F.col("first"), F.col("last")))
+    slot = (F.col("id") + F.col("offset")).alias("slot")
+    return scratch.finish(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", slot, "row"))
+
+
+def _digest(text: Column) -> list[Column]:
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    ]
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, places: bool = False) -> list[int]:
     """Write the files of the shards that gain or lose rows under ``path/shard=N``; the others stay as they are.
 
-    ``docs`` are rows with a doc_id of their own; returns the numbers of the shards that were written.
+    ``placed`` is what ``resharded`` made of ``docs`` and carries their rows, so null and repeated doc_ids are rows like
+    any other. A shard is as many files as tasks hold rows of it, each a run of slots in order; ``places`` adds the
+    columns slot and old_shard to them. Columns of ``docs`` with the names of added ones are left out. A shard that has lost all its rows is removed. Returns the shards that changed.
     """
     moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     changed = sorted(r[0] for r in moved.collect())
-    to = placed.where(F.col("shard").isin(changed)).select("doc_id", "shard", "slot")
-    rows = docs.join(to, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").drop("slot")
+    own = ("shard", "slot", "old_shard") if places else ("shard",)
+    names = [c for c in docs.columns if c not in own]
+    rows = placed.where(F.col("shard").isin(changed)).sortWithinPartitions("shard", "slot")
+    rows = rows.select(*(F.col("row")[c].alias(c) for c in names), *(["slot", "old_shard"] if places else []), "shard")
     rows.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    filled = {r[0] for r in placed.select("shard").distinct().collect()}
+    for s in set(changed) - filled:
+        target = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
     return changed
+
+
+def resharded_files(docs: DataFrame, old_shard: Column, path: str, shards: int = 8) -> DataFrame:
+    """``resharded`` without the rows, after writing the affected shards to ``path``; theirs is read from the files."""
+    placed = resharded(docs, old_shard, shards)
+    changed = write_shards(docs, placed, path, places=True)
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    same = placed.where(~F.col("shard").isin(changed)).select(*names)
+    if not changed:
+        return same
+    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot", "old_shard")]
+    schema = StructType(kept).add("slot", "long").add("old_shard", "integer").add("shard", "integer")
+    files = docs.sparkSession.read.schema(schema).parquet(path)
+    return files.select("doc_id", *_digest(F.col("text")), "old_shard", "shard", "slot").select(
+        F.col("doc_id").cast("long").alias("doc_id"), *names[1:]
+    ).union(same)

@@ -411,6 +411,29 @@ def test_resharding(spark, given, texts, tmp_path):
     assert now == {r["doc_id"]: r["shard"] for r in rows}
 
 
+def test_affected_shards_are_written_whole(spark, tmp_path):
+    """Null and repeated ids, and a shard that loses all its rows."""
+    rows = [(None if i % 5 == 0 else i % 7, f"text {i} " * (i % 11), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    old = F.when(F.col("doc_id") == 6, 1).otherwise(0)
+    path = str(tmp_path / "shards")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    total = sum(len(t) + 1 for _, t, _ in rows)
+    written = shards.write_shards(docs, shards.resharded(docs, old, 2, [total, 0]), path)
+    assert written == [0, 1]
+    found = spark.read.parquet(path).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in found) == Counter(rows)
+    assert {r["shard"] for r in found} == {0}
+    path = str(tmp_path / "fresh")
+    got = shards.resharded_files(docs, old, path, 3).collect()
+    want = Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    files = spark.read.parquet(path).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in files) == Counter(rows)
+    slots = {s: sorted(r["slot"] for r in files if r["shard"] == s) for s in range(3)}
+    assert all(x and x == list(range(len(x))) for x in slots.values())
+
+
 def test_resharding_of_awkward_rows(spark):
     docs = h.documents(spark)
     rows = shards.resharded(docs, F.col("doc_id") % 3, 3).collect()
