@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubmeta.llm.common import Scratch, n_words
+from pubmeta.llm.common import Scratch, free_names, n_words
 
 #: A document is taken at most so often, and a source at most so many times its size.
 MOST = 3
@@ -31,7 +31,7 @@ def target_shares(sizes: dict, weights: tuple[int, ...] = WEIGHTS, most: int = M
         if not full:
             target |= {s: left * weight[s] / total for s in open_}
             break
-        for s in full:
+        for s in (s for s in names if s in full):  # in one order, as floating sums depend on it
             target[s] = float(most * sizes[s])
             left -= target[s]
         open_ -= full
@@ -84,6 +84,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 def _fit_source(targets: dict, sizes: dict):
     def run(cells: pd.DataFrame) -> pd.DataFrame:
+        # the fit depends on the order of lengths, and rows arrive in any order
+        cells = cells.sort_values("size", kind="stable")
         source = cells["source"].iloc[0]
         source = None if pd.isna(source) else source
         size, target = sizes[source], targets[source]
@@ -101,32 +103,19 @@ def _hash(seed: int, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """How often the mix takes each document.
+def _name(source: Column | str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
 
-    Takes ``doc_id, text, source`` (more columns are ignored) and returns ``doc_id, size, source_size, target, taken,
-    times``, one row per input row, where ``taken`` is ``times`` times the size. A null text has size 0 and is never
-    taken. A null source is a source of its own. Rows that repeat everything are told apart by their place under the
-    same seed only, so which of them is taken makes no difference. An empty table gives an empty result.
 
-    A source is taken whole as often as its target allows, and what remains is a subset sum over its documents
-    (``fit_lengths``) on counts per exact length. A length gives the documents with the smallest seeded hash. To find
-    them, a cell of one source and length is cut into about the square root of its rows by that hash; counts decide
-    which parts go whole, and only the one part on the border is ranked.
+def _order(seed: int) -> Column:
+    return _hash(seed, F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
-    The driver holds one number per source.
+
+def _taken_classes(light: DataFrame, scratch: Scratch, seed: int) -> tuple[DataFrame, dict, dict]:
+    """How often each class of rows with the same source, id and text is taken; sizes and targets of the sources.
+
+    ``name, size, order, rows, whole, extra``: all of its rows go ``whole`` times, and ``extra`` of them once more.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    light = scratch.table(
-        docs.select(
-            "doc_id",
-            F.col("source").cast("string").alias("source"),
-            n_words(F.col("text")).alias("size"),
-            _hash(seed, F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))).alias("order"),
-        ),
-        "light",
-    )
     cells = light.groupBy("source", "size").agg(F.count("*").alias("rows"))
     sizes = {
         r["source"]: int(r["words"])
@@ -139,50 +128,132 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
         ),
         "fitted",
     )
-    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     decided = fitted.select(
-        named.alias("name"), "size", "whole", "extra", F.ceil(F.sqrt("rows")).cast("long").alias("cuts")
+        _name("source").alias("name"),
+        "size",
+        "whole",
+        F.col("extra").alias("wanted"),
+        F.ceil(F.sqrt("rows")).cast("long").alias("cuts"),
     )
-    keyed = light.withColumn("name", named).join(decided, ["name", "size"], "left")
+    classes = light.groupBy(_name("source").alias("name"), "size", "order").agg(F.count("*").alias("rows"))
     # the cut is one more scramble of the order, so that parts are of like size
-    keyed = scratch.table(keyed.withColumn("cut", F.pmod(_hash(seed + 1, "order"), "cuts")), "keyed")
-    parts = keyed.where("extra > 0").groupBy("name", "size", "cut", "extra").agg(F.count("*").alias("rows"))
+    keyed = classes.join(decided, ["name", "size"]).withColumn("cut", F.pmod(_hash(seed + 1, "order"), "cuts"))
+    keyed = scratch.table(keyed.drop("cuts"), "keyed")
+    parts = keyed.where("wanted > 0").groupBy("name", "size", "cut", "wanted").agg(F.sum("rows").alias("rows"))
     sofar = Window.partitionBy("name", "size").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(sofar), F.lit(0)))
     quota = scratch.table(
         parts.select(
-            "name", "size", "cut", F.greatest(F.lit(0), F.least("rows", F.col("extra") - F.col("before"))).alias("quota")
+            "name", "size", "cut", F.greatest(F.lit(0), F.least("rows", F.col("wanted") - F.col("before"))).alias("quota")
         ),
         "quota",
     )
-    within = Window.partitionBy("name", "size", "cut").orderBy("order", "doc_id")
-    out = (
-        keyed.join(quota, ["name", "size", "cut"], "left")
-        .withColumn("nth", F.row_number().over(within))
-        .withColumn("times", F.col("whole") + (F.col("nth") <= F.coalesce("quota", F.lit(0))).cast("int"))
+    within = Window.partitionBy("name", "size", "cut").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(quota, ["name", "size", "cut"], "left").withColumn(
+        "sofar", F.coalesce(F.sum("rows").over(within), F.lit(0))
     )
+    extra = F.greatest(F.lit(0), F.least("rows", F.coalesce("quota", F.lit(0)) - F.col("sofar")))
+    nothing = F.col("size") == 0
+    out = out.select(
+        "name",
+        "size",
+        "order",
+        "rows",
+        F.when(nothing, 0).otherwise(F.col("whole")).cast("int").alias("whole"),
+        F.when(nothing, 0).otherwise(extra).cast("long").alias("extra"),
+    )
+    return scratch.table(out, "taken"), sizes, targets
+
+
+def _with_times(rows: DataFrame, classes: DataFrame, scratch: Scratch, name: str, order: str, place: str, times: str) -> DataFrame:
+    """Rows with how often each is taken, of the classes that are given.
+
+    A class that goes once more in part only (at most one on the border of a source and length) picks its rows by
+    their place in the input: counts per partition tell which of those go whole, and only inside one are rows numbered.
+    """
+    whole, extra, n, source, text = free_names(rows, "_whole", "_extra", "_n", "_source", "_text")
+    known = classes.select("name", "order", "whole", "extra", "rows").toDF(source, text, whole, extra, n)
+    joined = rows.join(known.hint("shuffle_hash"), (F.col(name) == F.col(source)) & (F.col(order) == F.col(text)))
+    joined = joined.drop(source, text)
+    plain = joined.withColumn(times, F.col(whole) + (F.col(extra) > 0).cast("int"))
+    if classes.where("extra > 0 and extra < rows").isEmpty():
+        return plain
+    split = (F.col(extra) > 0) & (F.col(extra) < F.col(n))
+    at, count, before = free_names(joined, "_at", "_count", "_before")
+    counts = joined.where(split).groupBy(name, order, place).agg(F.count("*").alias(count))
+    sofar = Window.partitionBy(name, order).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col(name).alias(source),
+        F.col(order).alias(text),
+        F.col(place).alias(at),
+        F.coalesce(F.sum(count).over(sofar), F.lit(0)).alias(before),
+    )
+    mine = joined.where(split).join(
+        scratch.table(counts, "border"),
+        (F.col(name) == F.col(source)) & (F.col(order) == F.col(text)) & (F.col(place) == F.col(at)),
+    )
+    nth = F.row_number().over(Window.partitionBy(name, order, place).orderBy(F.lit(0))) + F.col(before)
+    mine = mine.withColumn(times, F.col(whole) + (nth <= F.col(extra)).cast("int"))
+    return plain.where(~split).unionByName(mine.select(*[F.col(f"`{c}`") for c in plain.columns]))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """How often the mix takes each document.
+
+    Takes ``doc_id, text, source`` (more columns are ignored) and returns ``doc_id, size, source_size, target, taken,
+    times``, one row per input row, where ``taken`` is ``times`` times the size. A null text has size 0 and is never
+    taken. A null source is a source of its own. Rows that repeat source, id and text are one class; which of them goes
+    once more than the others makes no difference. An empty table gives an empty result. The result does not depend on
+    the order or partitions of the rows.
+
+    A source is taken whole as often as its target allows, and what remains is a subset sum over its documents
+    (``fit_lengths``) on counts per exact length. A length gives the documents with the smallest seeded hash. To find
+    them, a cell of one source and length is cut into about the square root of its rows by that hash; counts decide
+    which parts go whole, and only the one part on the border is ranked.
+
+    The driver holds one number per source.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
+    light = scratch.table(_light(docs, seed), "light")
+    classes, sizes, targets = _taken_classes(light, scratch, seed)
+    rows = light.withColumn("name", _name("source"))
+    timed = _with_times(rows, classes, scratch, "name", "order", "place", "times")
     numbers = spark.createDataFrame(
         [("-" if s is None else f"={s}", int(n), float(targets[s])) for s, n in sizes.items()],
         "name string, source_size long, target double",
     )
     return scratch.finish(
-        out.withColumn("times", F.when(F.col("size") > 0, F.col("times")).otherwise(0).cast("int"))
-        .join(numbers, "name", "left")
-        .select(
-            "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", "order"
+        timed.join(numbers, "name").select(
+            "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times"
         )
     )
 
 
+def _light(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        n_words(F.col("text")).alias("size"),
+        _order(seed).alias("order"),
+        F.spark_partition_id().alias("place"),
+    )
+
+
 def mixed_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    times = mixed_documents(docs, seed).groupBy("order").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
-    times = times.where("_times > 0").withColumnRenamed("order", "_order")
-    keyed = docs.withColumn("_order", _hash(seed, F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-    # rows that repeat both id and text share what was taken of them; the join has put them together already
-    nth = F.row_number().over(Window.partitionBy("_order").orderBy("_times")) - 1
-    joined = keyed.join(times, "_order").withColumn("_nth", nth)
-    mine = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_nth") < F.col("_times") % F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), mine.cast("int")))).select(
+    """The documents of the mix with all their columns, whatever their names, each as often as it is taken.
+
+    Nulls, repeated rows and the empty table are treated as in ``mixed_documents``. A row is known by its source, id
+    and text, so a document that occurs under two sources is taken as the mix of each source says.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    light = scratch.table(_light(docs, seed), "light")
+    classes, _, _ = _taken_classes(light, scratch, seed)
+    name, order, place, times, copy = free_names(docs, "_name", "_order", "_place", "_times", "_copy")
+    keyed = docs.withColumns(
+        {name: _name(F.col("source").cast("string")), order: _order(seed), place: F.spark_partition_id()}
+    )
+    timed = _with_times(keyed, classes.where("whole > 0 or extra > 0"), scratch, name, order, place, times)
+    return timed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

@@ -82,7 +82,7 @@ def op9_counting_quotient_filters(spark: SparkSession, folder: str) -> DataFrame
 
 
 def op10_subset_sum_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed_documents(_table(spark, folder, "documents")).drop("order")
+    return mixed_documents(_table(spark, folder, "documents"))
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
