@@ -51,24 +51,45 @@ def _brute(rows, cosine=0.93):
 
 def test_decoding_lists_exactly_the_filters_in_the_cap():
     rng = np.random.default_rng(3)
-    codes, threshold = caps.product_codes(64)
+    turn, codes, threshold = caps.product_codes(64)
     for _ in range(5):
         v = rng.standard_normal(64)
         v /= np.linalg.norm(v)
-        scores = [((a @ v[p][:32])[:, None] + (b @ v[p][32:])[None, :]).ravel() for p, a, b in codes]
-        assert caps.decode(v).tolist() == np.flatnonzero(np.concatenate(scores) / np.sqrt(2) >= threshold).tolist()
+        turned = turn @ v
+        scores = [((a @ turned[p][:32])[:, None] + (b @ turned[p][32:])[None, :]).ravel() for p, a, b in codes]
+        scores = np.concatenate(scores) / np.sqrt(2)
+        want = np.flatnonzero(scores >= threshold)
+        if len(want) < caps.LEAST_FILTERS:
+            want = np.sort(np.argsort(-scores, kind="stable")[: caps.LEAST_FILTERS])
+        assert caps.decode(v).tolist() == want.tolist()
+
+
+def _vectors(kind: str, dim: int, rng) -> np.ndarray:
+    x = rng.standard_normal(dim)
+    if kind == "dominated":
+        x[rng.integers(dim)] = 0
+        x /= np.linalg.norm(x)
+        x *= np.sqrt(0.1)
+        x[np.flatnonzero(x == 0)[0]] = np.sqrt(0.9)
+    elif kind in ("two", "four"):
+        keep = rng.choice(dim, 2 if kind == "two" else 4, replace=False)
+        x = np.where(np.isin(np.arange(dim), keep), x, 0)
+    return x / np.linalg.norm(x)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dim", [8, 64, 256, 768])
+@pytest.mark.parametrize("kind", ["dense", "dominated", "two", "four"])
+def test_recall_at_the_threshold(kind, dim):
     rng = np.random.default_rng(5)
     met = 0
-    for _ in range(300):
-        x, y = rng.standard_normal((2, 64))
-        x /= np.linalg.norm(x)
+    for _ in range(150):
+        x = _vectors(kind, dim, rng)
+        y = rng.standard_normal(dim)
+        y = np.where(x != 0, y, 0) if kind in ("two", "four") else y
         y -= (y @ x) * x
         y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y)
         met += bool(len(np.intersect1d(caps.decode(x), caps.decode(y))))
-    assert met >= 0.99 * 300
+    assert met >= 0.985 * 150
 
 
 def test_vectors_against_all_pairs(spark, monkeypatch):
