@@ -90,9 +90,15 @@ class Lexicon:
                 spared.append((begin, end))
             if weight:
                 best[begin] = max(best.get(begin, weight), weight)
-        if spared:
-            best = {b: w for b, w in best.items() if not any(lo <= b < hi for lo, hi in spared)}
-        return sorted(best.items())
+        spared.sort()
+        out, reach, k = [], -1, 0
+        for begin, weight in sorted(best.items()):
+            # both lists are in order of their beginnings, so one sweep finds how far the exceptions begun so far reach
+            while k < len(spared) and spared[k][0] <= begin:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if begin >= reach:
+                out.append((begin, weight))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
