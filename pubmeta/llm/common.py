@@ -63,12 +63,42 @@ class Scratch:
         self.remove(earlier)
         return out
 
+    def drop_all_but_last(self) -> None:
+        earlier, self._paths = self._paths[:-1], self._paths[-1:]
+        self.remove(earlier)
+
     def remove(self, paths: list[str]) -> None:
         for path in paths:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of a few numbers each that may be broadcast (about 20 MB as a hash table); beyond it a join is shuffled.
+SMALL_ROWS = 200_000
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores before them until no column of the table has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(rows: DataFrame, gone: DataFrame, same: Callable[[DataFrame], Column]) -> DataFrame:
+    """Rows that none of ``gone``, a stored table of keys, matches.
+
+    Up to SMALL_ROWS keys are broadcast and the rows are not shuffled at all. More are shuffled with the rows into
+    hash tables of keys, past which the rows stream unsorted.
+    """
+    gone = gone.alias("gone")
+    gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone.hint("shuffle_hash")
+    return rows.join(gone, same(gone), "left_anti")
+
+
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text, 0 for null."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}+|{SPACES}+$", "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pubmeta.llm.common import Scratch, chunks, groups_of, mix, stream, word_hashes
+from pubmeta.llm.common import Scratch, chunks, free_names, groups_of, mix, stream, without, word_hashes
 from pubmeta.llm.components import connected_components
 
 #: Registers of a sketch, of one byte.
@@ -345,5 +345,11 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Of an id that is used for several texts, each text goes or stays by itself; texts that are near to each other under
     the id that names their component all stay.
     """
-    gone = _judged(docs, words, percent).where("not kept").select(F.col("row").alias("_gone")).distinct()
-    return docs.join(gone, _row(docs) == gone["_gone"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "distinct-near")
+    gone = _judged(docs, words, percent).where("not kept").select("row", "doc_id").distinct()
+    mine, id_ = free_names(docs, "_row", "_id")
+    keyed = docs.withColumns({mine: _row(docs), id_: docs["doc_id"].cast("long")})
+    rest = without(
+        keyed, scratch.table(gone, "gone"), lambda g: (keyed[mine] == g["row"]) & (keyed[id_] == g["doc_id"])
+    )
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])

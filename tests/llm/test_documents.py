@@ -11,11 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pubmeta.llm import exact, katz, minhash, mixing, packing, shards
+from pubmeta.llm import common, exact, katz, minhash, mixing, packing, shards
 
 _spec = importlib.util.spec_from_file_location("llm_helpers", os.path.join(os.path.dirname(__file__), "helpers.py"))
 h = importlib.util.module_from_spec(_spec)
@@ -37,15 +38,16 @@ def texts(given):
 # exact duplicates
 
 
-def test_filters_merge_without_loss():
+@pytest.mark.parametrize("bits", [8, 15, 20])
+def test_filters_merge_without_loss(bits):
     rng = np.random.default_rng(1)
     parts = [np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64)) for _ in range(2)]
     parts[1][:50] = parts[0][:50]
     merged = Counter()
     for part in parts:
         keys, n = np.unique(part, return_counts=True)
-        for row in exact._encode(keys, n):
-            got, counts = exact._decode(*row)
+        for row in exact._encode(keys, n, bits):
+            got, counts = exact._decode(*row, bits)
             merged.update(dict(zip(got.tolist(), counts.tolist(), strict=True)))
     assert merged == Counter(np.concatenate(parts).tolist())
 
@@ -74,6 +76,49 @@ def test_distinct_texts_keeps_one_row_of_each_text(spark):
     assert set(norms) == {re.sub(r"[\x20\x09-\x0D]+", "", r["text"] or "") for r in docs.collect()}
 
 
+def test_blocks_grow_with_the_rows():
+    assert exact.block_bits(0) == exact.block_bits(200 << 20) == 8
+    assert (20_000_000_000 >> exact.block_bits(20_000_000_000)) <= exact.BLOCK_ROWS
+
+
+def test_merging_adds_up_counts():
+    parts = [np.array(x, np.uint64) for x in ([1, 5, 9], [5, 9, 12], [9])]
+    keys, n = exact._merge(parts, [np.array([1, 2, 1]), np.array([1, 1, 4]), np.array([7])])
+    assert keys.tolist() == [1, 5, 9, 12] and n.tolist() == [1, 3, 9, 4]
+
+
+CLASH = ("_sha", "_key", "_nth", "_first", "_second", "_order", "_times", "_name", "_copy", "_row", "_id", "fingerprint", "rows")
+
+
+def _clashing(spark):
+    rows = [(1, "a b", "x"), (2, "ab", "x"), (3, "ab ", "y"), (3, "ab ", "y"), (4, None, None), (None, "c", "x"), (None, "c", "x")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, n long")
+    return df.withColumns({c: F.concat(F.lit("mine"), F.col("n")) for c in CLASH}), len(rows)
+
+
+@pytest.mark.parametrize(
+    "stage", [exact.distinct_texts, minhash.distinct_documents, mixing.mixed_rows], ids=["exact", "near", "mixing"]
+)
+@pytest.mark.parametrize("small", [0, 1000])
+def test_stages_leave_clashing_columns_alone(spark, stage, small, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    docs, _ = _clashing(spark)
+    out = stage(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert all(r[c] == f"mine{r['n']}" for c in CLASH)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_distinct_texts_of_repeated_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    docs, _ = _clashing(spark)
+    kept = [(r["doc_id"], r["text"]) for r in exact.distinct_texts(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "a b"), (4, None), (None, "c")], key=repr)
+
+
 # near duplicates
 
 
@@ -342,6 +387,39 @@ def test_fit_is_the_nearest_with_the_proportional_part(seed):
     assert abs(int((lengths * taken).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_fit_of_a_source_does_not_depend_on_the_order_of_its_cells(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 400, 12))
+    cells = pd.DataFrame({"source": "s", "size": lengths, "rows": rng.integers(1, 5, len(lengths))})
+    size = int((cells["size"] * cells["rows"]).sum())
+    run = mixing._fit_source({"s": size * float(rng.uniform(0.1, 2.9))}, {"s": size})
+    want = run(cells).reset_index(drop=True)
+    for _ in range(5):
+        pd.testing.assert_frame_equal(run(cells.sample(frac=1, random_state=int(rng.integers(1 << 30)))).reset_index(drop=True), want)
+
+
+def test_mix_of_repeated_rows_and_two_sources(spark):
+    """Rows that repeat everything share what is taken of them; a document under two sources follows each."""
+    rows = [(1, "a b c", "x")] * 7 + [(2, "a b c d e", "x"), (1, "a b c", "y"), (3, "f g", "y"), (4, "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for partitions in (1, 4):
+        given = docs.repartition(partitions)
+        taken = mixing.mixed_documents(given).collect()
+        assert len(taken) == len(rows)
+        total = sum(r["times"] for r in taken)
+        by_id = Counter()
+        for r in taken:
+            by_id[r["doc_id"]] += r["times"]
+        mixed = mixing.mixed_rows(given).collect()
+        assert len(mixed) == total and Counter(r["doc_id"] for r in mixed) == by_id
+        per_source = Counter()
+        for r in mixed:
+            per_source[r["source"]] += len(r["text"].split())
+        targets = mixing.target_shares({"x": 26, "y": 5, None: 1})
+        assert all(abs(per_source[s] - t) <= 5 for s, t in targets.items())
+
+
 def _check_mix(rows, texts: dict, sources: dict):
     by = defaultdict(lambda: [0, 0.0, 0])
     for r in rows:
@@ -360,6 +438,9 @@ def test_mix_of_the_test_table(spark, given, texts):
         assert abs(taken - target) <= max(40, 0.02 * target) and target <= 3 * size + 1e-6
     again = mixing.mixed_documents(given.repartition(5)).collect()
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in again}
+    for partitions in (3, 11):
+        again = mixing.mixed_documents(given.repartition(partitions, "text")).collect()
+        assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in again}
     mixed = mixing.mixed_rows(given)
     assert mixed.columns == given.columns
     counts = Counter(r["doc_id"] for r in mixed.select("doc_id").collect())
