@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written and read again before the next."""
+    """Apply the stages to ``documents``, each written and read again before the next.
+
+    A stage's table is deleted when the next one is written; the last one stays.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop_all_but_last()
     return docs
