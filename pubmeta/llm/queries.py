@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pubmeta.llm import clusters, decontaminate, repair
 from pubmeta.llm.caps import near_vectors
 from pubmeta.llm.chat import preference_segments, with_other_answers
 from pubmeta.llm.common import crc_of_id
@@ -85,6 +86,26 @@ def op10_subset_sum_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_documents(_table(spark, folder, "documents"))
 
 
+def op11_ptolemaic_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clustered_vectors(_table(spark, folder, "embeddings")).drop("centroid")
+
+
+def op12_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.benchmark_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_digest(repair.damaged(_table(spark, folder, "conversations")), F.col("present"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_spherical_caps,
         op9_counting_quotient_filters,
         op10_subset_sum_mixing,
+        op11_ptolemaic_clusters,
+        op12_benchmark_passages,
+        op13_conversation_repair,
         pipeline,
     )
 }
@@ -147,4 +171,7 @@ FROM d JOIN g ON d.norm = g.norm
 ORACLE_SQL: dict[str, str] = {
     "op1_preference_formatting": _OP1,
     "op9_counting_quotient_filters": _OP9,
+    "op11_ptolemaic_clusters": clusters.oracle(),
+    "op12_benchmark_passages": decontaminate.ORACLE,
+    "op13_conversation_repair": repair.oracle(),
 }
