@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from pubmeta.operators import events as E
 from pubmeta.operators import outbox as O
+from pubmeta.operators.crossref import doi_key
 from pubmeta.plans.base import Source, query
 from pubmeta.plans.biblio_queries import records
 from pubmeta.plans.tei_queries import DOI, PUBLISHER, TEI, TITLE, tei_docs
+from pubmeta.sources.keyed import KeyedTable, write_keyed
 from pubmeta.sources.readers import stream_events
 from pubmeta.sources.sinks import latest_changes, upsert_table
 from pubmeta.sources.workspace import new_folder
 from pubmeta.streaming import jobs as S
+from pubmeta.streaming.state import skip_finished, use_keyed_state
 
 NOW = "TIMESTAMP '2026-01-01 00:00:00Z'"
 
@@ -110,6 +113,20 @@ def _(s: Source) -> DataFrame:
     return E.skip_completed(matched, done, "paper_version_id", "conversion_status")
 
 
+@query(
+    "str10_pages_by_key",
+    f"""SELECT doc_id, page_number, success FROM ocr_pages
+        WHERE doc_id IN (SELECT paper_version_id FROM ({TODO}) WHERE paper_version_id % 3 = 0)""",
+)
+def _(s: Source) -> DataFrame:
+    """The pages of a work list, read from the parts of the page table that hold its keys."""
+    todo = s.view("paper_events").where("event_id % 3 = 0 AND event_id % 10 IN (2, 5, 6, 7, 8, 9)").select("event_id", F.col("key").cast("bigint").alias("paper_id"))
+    versions = keyed(s, s.view("paper_versions"), "id").rows_for(todo, "event_id").where("conversion_status <> 'Completed'")
+    wanted = todo.join(versions, (F.col("event_id") == F.col("id")) & (todo["paper_id"] == versions["paper_id"]), "left_semi")
+    pages = keyed(s, s.view("ocr_pages"), "doc_id", "page_number")
+    return pages.rows_for(wanted, "event_id").select("doc_id", "page_number", "success")
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -215,25 +232,23 @@ def _(s: Source) -> DataFrame:
     )
 
 
+def keyed(s: Source, df: DataFrame, key: str, *order: str, buckets: int = 32) -> KeyedTable:
+    return write_keyed(df, new_folder(s.spark, f"keyed-{key}"), key, buckets, *order)
+
+
 def metadata_run(s: Source) -> str:
     out = new_folder(s.spark, "metadata-stream")
-    docs = new_folder(s.spark, "docs")
-    tei_docs(s).write.parquet(docs)
     completed = s.table("customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("paper_id"), F.lit("Completed").alias("extraction_status")
     )
     works = records(s).withColumn("doi", F.replace(F.lower("doi"), F.lit("/p"), F.lit("/o")))
+    works = keyed(s, works.withColumn("doi_key", doi_key(F.col("doi"))), "doi_key")
+    docs = keyed(s, tei_docs(s), "doc_id")
+    versions = keyed(s, s.view("paper_versions"), "id")
 
     def start(events: DataFrame):
         return S.metadata_stream(
-            events,
-            lambda: s.view("paper_versions"),
-            completed,
-            lambda: s.spark.read.parquet(docs),
-            lambda: works,
-            out,
-            f"{out}/checkpoint",
-            F.expr(NOW),
+            events, versions.rows_for, completed, docs.rows_for, works.rows_for, out, f"{out}/checkpoint", F.expr(NOW)
         )
 
     twice(s, start)
@@ -252,6 +267,36 @@ FINAL = f"""
 """
 
 
+@query("str6_keyed_state", TODO)
+def _(s: Source) -> DataFrame:
+    """The skip as keyed state: versions finished at the start seed it, what each run hands on counts as finished
+    for the next, and the second run repeats every event of the first."""
+    use_keyed_state(s.spark)
+    inbox, out = new_folder(s.spark, "inbox"), new_folder(s.spark, "handed-on")
+    ddl = "paper_version_id BIGINT, paper_id BIGINT"
+    S.ensure_folder(s.spark, out, ddl)
+    versions = keyed(s, s.view("paper_versions"), "id")
+    before = s.view("paper_versions").where("conversion_status = 'Completed'").select(F.col("id").alias("paper_version_id"))
+
+    def start(events: DataFrame):
+        finished = s.spark.readStream.schema(ddl).parquet(f"{out}/batch_id=*")
+        ids = E.parse_event(events).where("valid")
+        waiting = skip_finished(ids, finished, "paper_version_id", ["paper_id"], before)
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            ids = batch.select("paper_version_id", "paper_id", F.lit(True).alias("valid")).persist()
+            try:
+                matched = E.match_versions(ids, versions.rows_for(ids, "paper_version_id"))
+                matched.select("paper_version_id", "paper_id").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            finally:
+                ids.unpersist()
+
+        return waiting.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}-state")
+
+    twice(s, start)
+    return s.spark.read.parquet(out).select("paper_version_id", "paper_id")
+
+
 def metadata_rows(s: Source) -> DataFrame:
     changes = S.read_changes(s.spark, f"{metadata_run(s)}/metadata", S.METADATA_CHANGES_DDL)
     return latest_changes(changes, "paper_id", "batch_id")
@@ -301,15 +346,13 @@ def _(s: Source) -> DataFrame:
 def ocr_run(s: Source) -> str:
     """Every version whose id is a conversation has pages; the others have none and fail."""
     out = new_folder(s.spark, "ocr-stream")
+    versions = keyed(s, s.view("paper_versions"), "id")
+    pages = keyed(s, s.view("ocr_pages"), "doc_id", "page_number")
+    converted = s.view("paper_versions").select(F.col("id").alias("paper_version_id"), "conversion_status")
 
     def start(events: DataFrame):
         return S.ocr_stream(
-            events,
-            lambda: s.view("paper_versions"),
-            lambda: s.view("ocr_pages"),
-            out,
-            f"{out}/checkpoint",
-            F.expr(NOW),
+            events, versions.rows_for, converted, pages.rows_for, out, f"{out}/checkpoint", F.expr(NOW)
         )
 
     twice(s, start)

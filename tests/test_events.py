@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from pubmeta.operators import events as E
 from pubmeta.operators import outbox as O
+from pubmeta.sources.keyed import KeyedTable, whole_table, write_keyed
 from pubmeta.sources.readers import stream_events
 from pubmeta.sources.sinks import latest_changes, topic_rows
 from pubmeta.sources.workspace import SETTING, workspace
 from pubmeta.streaming import jobs as S
+from pubmeta.streaming.state import PROVIDER_SETTING, ROCKSDB, skip_finished, use_keyed_state
 
 
 def parse(spark, *values):
@@ -123,7 +125,7 @@ def metadata_job(spark, tmp_path):
     docs = spark.createDataFrame(
         [(10, "<broken"), (11, TEI.format(n=11)), (20, TEI.format(n=20)), (30, TEI.format(n=30))], "doc_id BIGINT, xml STRING"
     )
-    works = spark.createDataFrame([], "doi STRING, title STRING, abstract STRING, journal STRING, publisher STRING, "
+    works = spark.createDataFrame([], "doi STRING, doi_key STRING, title STRING, abstract STRING, journal STRING, publisher STRING, "
                                   "publication_year INT, volume STRING, issue STRING, pages STRING, "
                                   "authors ARRAY<STRUCT<first_name STRING, middle_name STRING, last_name STRING, full_name STRING, email STRING, affiliation STRING>>")
     completed = spark.createDataFrame([(3, "Completed")], "paper_id BIGINT, extraction_status STRING")
@@ -135,9 +137,8 @@ def metadata_job(spark, tmp_path):
 
     def run():
         events = stream_events(spark, f"{inbox}/*")
-        writer = S.metadata_stream(
-            events, lambda: versions, completed, lambda: docs, lambda: works, out, f"{out}/cp", F.current_timestamp()
-        )
+        lookups = whole_table(versions, "id"), completed, whole_table(docs, "doc_id"), whole_table(works, "doi_key")
+        writer = S.metadata_stream(events, *lookups, out, f"{out}/cp", F.current_timestamp())
         writer.trigger(availableNow=True).start().awaitTermination()
         changes = S.read_changes(spark, f"{out}/metadata", S.METADATA_CHANGES_DDL)
         return {
@@ -161,6 +162,128 @@ def test_metadata_stream_restart_and_redelivery(spark, metadata_job):
     assert [(r["paper_id"], r["paper_version_id"], r["reason"]) for r in lost] == [(2, 99, "version not found")]
 
 
+def test_one_parse_per_scan(spark, tmp_path):
+    """Filters on parsed columns do not copy the parse into the predicates."""
+    path = str(tmp_path / "events")
+    spark.createDataFrame([("1", "{}")], "key STRING, value STRING").write.parquet(path)
+    versions = spark.createDataFrame([(7, 1, "a.pdf")], "id BIGINT, paper_id BIGINT, original_file_name STRING")
+    parsed = E.parse_event(spark.read.parquet(path))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    for df in (parsed, parsed.where("valid"), E.match_versions(parsed, versions)):
+        assert plan(df).count("from_json") == 1
+    lost = plan(E.unmatched_events(parsed, versions))
+    assert lost.count("from_json") == lost.count("parquet") == 2
+
+
+# keyed state
+
+
+@pytest.fixture
+def skipping(spark, tmp_path):
+    """A stream that hands on ids and counts them as finished from its next run on."""
+    use_keyed_state(spark)
+    assert spark.conf.get(PROVIDER_SETTING) == ROCKSDB
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    S.ensure_folder(spark, out, "id BIGINT, note STRING")
+    before = spark.createDataFrame([(5,), (None,), (6,)], "id BIGINT")
+
+    def run(name, rows, fails=False):
+        if rows:
+            spark.createDataFrame(rows, "id BIGINT, note STRING").repartition(3).write.parquet(f"{inbox}/{name}")
+        events = spark.readStream.schema("id BIGINT, note STRING").parquet(f"{inbox}/*")
+        finished = spark.readStream.schema("id BIGINT").parquet(f"{out}/batch_id=*")
+        got = []
+
+        def each(batch, batch_id):
+            got.extend((r["id"], r["note"]) for r in batch.collect())
+            if fails:
+                raise RuntimeError("lost before the results were written")
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+        writer = skip_finished(events, finished, "id", ["note"], before).writeStream.foreachBatch(each)
+        q = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except Exception:
+            assert fails
+        return sorted(got, key=repr), q.recentProgress
+
+    return run
+
+
+BIG = (1 << 62) + 1
+
+
+def test_finished_keys_are_skipped_across_restarts(skipping):
+    first, _ = skipping("d1", [(1, "a")] * 40 + [(1, "b"), (2, None), (5, "x"), (None, "n"), (BIG, "big")])
+    assert first == sorted([(1, "a"), (1, "b"), (2, None), (BIG, "big")], key=repr)
+    # repeats of what is finished, the seeded keys, and something new
+    assert skipping("d2", [(1, "a"), (2, "later"), (6, "x"), (3, "c"), (3, "c"), (BIG, "big")])[0] == [(3, "c")]
+    assert skipping("d3", [(3, "c"), (1, "z")])[0] == []
+
+
+def test_a_lost_batch_is_handed_on_again(skipping):
+    assert skipping("d1", [(1, "a"), (5, "x")], fails=True)[0] == [(1, "a")]
+    assert skipping("", [])[0] == [(1, "a")]
+    assert skipping("d2", [(1, "a"), (2, "b")])[0] == [(2, "b")]
+
+
+def test_a_batch_reads_its_own_rows_whatever_the_history(skipping):
+    skipping("d1", [(i, "a") for i in range(100, 4100)])
+    skipping("d2", [(100, "a")])  # takes in what the first run finished
+    _, progress = skipping("d3", [(i, "a") for i in range(4090, 4110)])
+    read = sum(p["numInputRows"] for p in progress)
+    assert 20 <= read <= 2 * 20 + 5
+    assert sum(s["numRowsUpdated"] for p in progress for s in p["stateOperators"]) <= 25
+
+
+# keyed tables
+
+
+def _scan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_work_list_reads_its_buckets_only(spark, tmp_path):
+    rows = spark.range(2000).select("id", (F.col("id") * 10).alias("n"))
+    table = write_keyed(rows, str(tmp_path / "t"), "id", 64)
+    assert table.table().count() == 2000 and table.table().columns == ["id", "n"]
+    keys = spark.createDataFrame([(7,), (7,), (1999,), (None,), (5000,)], "k BIGINT")
+    found = table.rows_for(keys, "k")
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 70), (1999, 19990)]
+    plan = _scan(found)
+    assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters: [" in plan and "In(id" in plan
+    read = plan.split("_bucket")[1].split("IN (")[1].split(")")[0].split(",")
+    assert len(read) <= 3 < len(table.table().inputFiles())
+    assert table.rows_for(spark.createDataFrame([], "k BIGINT"), "k").count() == 0
+
+
+def test_a_hot_key_is_many_files(spark, tmp_path):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("page"))
+    table = write_keyed(rows, str(tmp_path / "t"), "doc_id", 4, "page")
+    found = table.rows_for(spark.createDataFrame([(1,)], "doc_id BIGINT"))
+    assert found.count() == rows.where("doc_id = 1").count()
+    hot = spark.read.parquet(str(tmp_path / "t")).where("doc_id = 1").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot > 1
+
+
+def test_only_changed_buckets_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = write_keyed(spark.range(200).select("id", F.lit("old").alias("v")), path, "id", 8)
+    changed = spark.createDataFrame([(3, "new"), (900, "new")], "id BIGINT, v STRING")
+    before = {f: os.stat(f.removeprefix("file:").replace("//", "/")).st_mtime_ns for f in table.table().inputFiles()}
+    written = table.upsert(changed)
+    assert 1 <= len(written) <= 2
+    want = {i: "old" for i in range(200)} | {3: "new", 900: "new"}
+    assert {r["id"]: r["v"] for r in KeyedTable(spark, path, "id", 8).table().collect()} == want
+    same = [f for f in before if f"_bucket={written[0]}/" not in f and f"_bucket={written[-1]}/" not in f]
+    assert same and all(os.stat(f.removeprefix("file:").replace("//", "/")).st_mtime_ns == before[f] for f in same)
+
+
 class FakeSession:
     def __init__(self, setting, master):
         self.conf = {SETTING: setting} if setting else {}
