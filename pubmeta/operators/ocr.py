@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+import types
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ PAGES_PER_PART = 1000
 OCR_CONTENT_TYPES = ("application/pdf", "application/x-pdf")
 MISSING_PAGE = "[MISSING_PAGE_POST]"
 NO_PREDICTION = "Nougat did not return a prediction for this page."
+EMPTY_SAMPLE = "Nougat dataloader returned empty sample."
 
 
 def normalize_prediction(prediction: Column, repeats: Column, page_number: Column) -> Column:
@@ -105,60 +108,111 @@ def ocr_outcome(documents: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+_INFERRED = (
+    "doc_id BIGINT, page_number INT, prediction STRING, repeats INT, success BOOLEAN, error STRING, attempts INT"
+)
+_ARROW = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("page_number", pa.int32()),
+        ("prediction", pa.string()),
+        ("repeats", pa.int32()),
+        ("success", pa.bool_()),
+        ("error", pa.string()),
+        ("attempts", pa.int32()),
+    ]
+)
+
+
+def _answered(rows: list[tuple], model: Callable[[list], dict], max_retry: int) -> list[dict]:
+    """Results of one batch of pages ``(doc_id, page_number, input)``."""
+
+    def page(row: tuple, **found) -> dict:
+        blank = {"prediction": None, "repeats": None, "success": False, "error": None, "attempts": max_retry}
+        return {"doc_id": row[0], "page_number": row[1]} | blank | found
+
+    out = [page(r, error=EMPTY_SAMPLE) for r in rows if r[2] is None]
+    rows = [r for r in rows if r[2] is not None]
+    problem: Exception | None = None
+    for attempt in range(1, max_retry + 1) if rows else ():
+        try:
+            answer = model([r[2] for r in rows])
+            predictions, repeats = answer.get("predictions", []), answer.get("repeats", [])
+            texts = [predictions[i] if i < len(predictions) else None for i in range(len(rows))]
+            texts = [None if t is None else str(t) for t in texts]
+            counts = [repeats[i] if i < len(repeats) else None for i in range(len(rows))]
+            counts = [None if c is None else int(c) for c in counts]
+        except Exception as raised:
+            problem = raised
+            continue
+        return out + [
+            page(r, prediction=t, repeats=c, success=t is not None, error=None if t is not None else NO_PREDICTION, attempts=attempt)
+            for r, t, c in zip(rows, texts, counts, strict=True)
+        ]
+    return out + [page(r, error=str(problem)) for r in rows]
+
+
+def _kept_model(name: str | None, load: Callable[[], Callable[[list], dict]]) -> Callable[[list], dict]:
+    """The model of this worker process: loaded once under a name, and kept for the tasks that the worker runs later."""
+    if name is None:
+        return load()
+    kept = sys.modules.setdefault("_page_models", types.ModuleType("_page_models"))
+    if not hasattr(kept, name):
+        setattr(kept, name, load())
+    return getattr(kept, name)
+
+
 def infer_pages(
     pages: DataFrame,
-    model: Callable[[list], dict],
+    model: Callable[[list], dict] | None = None,
     batch_size: int = 2,
     max_retry: int = 3,
     input_column: str = "image",
+    *,
+    load: Callable[[], Callable[[list], dict]] | None = None,
+    name: str | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Run a page model over ``(doc_id, page_number, <input>)`` in batches of consecutive pages.
 
     ``model(inputs)`` returns ``{"predictions": [...], "repeats": [...]}``. A
     batch that raises, or gets an answer that cannot be read, is tried again; after ``max_retry`` attempts all its pages
-    fail with the last error. A page the model says nothing about fails alone.
-    """
+    fail with the last error. A page the model says nothing about fails alone. Pages without input are not given to
+    the model and fail as an empty sample.
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("page_number")
-        numbers = list(batch["page_number"])
-        out = pd.DataFrame(
-            {
-                "doc_id": list(batch["doc_id"]),
-                "page_number": numbers,
-                "prediction": None,
-                "repeats": pd.array([None] * len(numbers), dtype="Int32"),
-                "success": False,
-                "error": None,
-                "attempts": max_retry,
-            }
-        )
-        for attempt in range(1, max_retry + 1):
-            try:
-                answer = model(list(batch[input_column]))
-                predictions, repeats = answer.get("predictions", []), answer.get("repeats", [])
-                texts = [predictions[i] if i < len(predictions) else None for i in range(len(numbers))]
-                texts = [None if t is None else str(t) for t in texts]
-                counts = [repeats[i] if i < len(repeats) else None for i in range(len(numbers))]
-                counts = pd.array([None if c is None else int(c) for c in counts], dtype="Int32")
-            except Exception as problem:
-                out["error"] = str(problem)
-                continue
-            out["prediction"] = texts
-            out["repeats"] = counts
-            out["success"] = [t is not None for t in texts]
-            out["error"] = [None if t is not None else NO_PREDICTION for t in texts]
-            out["attempts"] = attempt
-            break
-        return out
-
-    batch_no = F.floor((F.col("page_number") - 1) / batch_size).alias("batch_no")
-    return (
-        pages.select("doc_id", "page_number", input_column)
-        .groupBy("doc_id", batch_no)
-        .applyInPandas(
-            run,
-            "doc_id BIGINT, page_number INT, prediction STRING, repeats INT, "
-            "success BOOLEAN, error STRING, attempts INT",
-        )
-    )
+    A task streams its pages and forms the batches as they pass, across Arrow batches, so it holds one model batch.
+    Instead of a model a function that loads one may be given; it is called once per task, or once per worker
+    process where the model has a ``name``.
+
+    ``laid_out`` says that the pages of a document lie together and in order, as in a table written by
+    ``write_keyed(pages, path, "doc_id", buckets, "batch", sort=("page_number",))``. Then images are not shuffled; a
+    batch that lies across two splits of a large file is two calls. Otherwise pages are shuffled once, by document and runs of
+    PAGES_PER_PART pages, so that one document holding most pages is many tasks.
+    """
+    if (model is None) == (load is None):
+        raise ValueError("give a model or a function that loads one")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = model if load is None else _kept_model(name, load)
+        held: list[tuple] = []
+        current = None
+        for batch in batches:
+            found: list[dict] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (row[0], None if row[1] is None else (row[1] - 1) // batch_size)
+                if held and key != current:
+                    found += _answered(held, answer, max_retry)
+                    held = []
+                current = key
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_pylist(found, _ARROW)
+        if held:
+            yield pa.RecordBatch.from_pylist(_answered(held, answer, max_retry), _ARROW)
+
+    given = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), F.col(input_column))
+    if not laid_out:
+        # whole model batches per run, whatever the batch size
+        run_of = F.floor((F.col("page_number") - 1) / (batch_size * max(PAGES_PER_PART // batch_size, 1)))
+        given = given.repartition("doc_id", run_of).sortWithinPartitions("doc_id", "page_number")
+    return given.mapInArrow(run, _INFERRED)

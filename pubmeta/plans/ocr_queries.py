@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pubmeta.operators import ocr as O
 from pubmeta.plans.base import Source, query
+from pubmeta.sources.keyed import write_keyed
+from pubmeta.sources.workspace import new_folder
 
 MARKDOWN = """
     CASE WHEN trim(prediction) = '[MISSING_PAGE_POST]'
@@ -99,27 +101,48 @@ def _(s: Source) -> DataFrame:
     return O.ocr_outcome(uploads(s), pages(s))
 
 
-@query(
-    "udf2_infer_pages",
-    """
-    WITH b AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, text, turn // 2 AS batch FROM conversations),
-    bad AS (SELECT DISTINCT doc_id, batch FROM b WHERE contains(text, 'è'))
-    SELECT b.doc_id, b.page_number, bad.batch IS NULL AS success, CASE WHEN bad.batch IS NULL THEN 1 ELSE 3 END AS attempts,
-      CASE WHEN bad.batch IS NOT NULL THEN 'unreadable batch' END AS error,
-      CASE WHEN bad.batch IS NULL THEN CAST(length(b.text) AS INTEGER) END AS chars
+INFERRED = """
+    WITH b AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, text, turn // 2 AS batch,
+        turn % 11 = 7 AS lost FROM conversations),
+    bad AS (SELECT DISTINCT doc_id, batch FROM b WHERE contains(text, 'è') AND NOT lost)
+    SELECT b.doc_id, b.page_number, bad.batch IS NULL AND NOT lost AS success,
+      CASE WHEN bad.batch IS NULL AND NOT lost THEN 1 ELSE 3 END AS attempts,
+      CASE WHEN lost THEN 'Nougat dataloader returned empty sample.' WHEN bad.batch IS NOT NULL THEN 'unreadable batch' END AS error,
+      CASE WHEN bad.batch IS NULL AND NOT lost THEN CAST(length(b.text) AS INTEGER) END AS chars
     FROM b LEFT JOIN bad ON bad.doc_id = b.doc_id AND bad.batch = b.batch
-    """,
-)
-def _(s: Source) -> DataFrame:
-    images = s.table("conversations").select(
-        F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("image")
+"""
+
+
+def images(s: Source) -> DataFrame:
+    """Every eleventh page of a document has lost its image."""
+    return s.table("conversations").select(
+        F.col("conv_id").alias("doc_id"),
+        (F.col("turn") + 1).cast("int").alias("page_number"),
+        F.when(F.col("turn") % 11 != 7, F.col("text")).alias("image"),
     )
 
+
+def load_model():
     def model(inputs: list) -> dict:
         if any("è" in text for text in inputs):
             raise ValueError("unreadable batch")
         return {"predictions": list(inputs), "repeats": []}
 
-    return O.infer_pages(images, model).select(
-        "doc_id", "page_number", "success", "attempts", "error", F.length("prediction").alias("chars")
-    )
+    return model
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "page_number", "success", "attempts", "error", F.length("prediction").alias("chars"))
+
+
+@query("udf2_infer_pages", INFERRED)
+def _(s: Source) -> DataFrame:
+    return inferred(O.infer_pages(images(s), load_model()))
+
+
+@query("udf2_infer_stored_pages", INFERRED)
+def _(s: Source) -> DataFrame:
+    """The same from a table laid out by document: no image is shuffled, the model is loaded once per worker."""
+    pages = images(s).withColumn("batch", F.floor((F.col("page_number") - 1) / 2))
+    table = write_keyed(pages, new_folder(s.spark, "images"), "doc_id", 4, "batch", sort=("page_number",)).table()
+    return inferred(O.infer_pages(table, load=load_model, name="marks", laid_out=True))

@@ -1,6 +1,8 @@
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pubmeta.operators import ocr as O
@@ -111,6 +113,70 @@ def test_infer_pages(spark):
     ]
 
 
+def _calls(path):
+    return [eval(line) for line in open(path).read().splitlines()] if os.path.exists(path) else []
+
+
+def test_batches_are_formed_across_arrow_batches(spark, tmp_path):
+    """Pages that are laid out are not shuffled; the model is loaded once and sees whole batches."""
+    log = str(tmp_path / "calls")
+    rows = [(d, n, None if (d, n) == (2, 3) else f"{d}.{n}") for d in (1, 2) for n in range(1, 8)]
+    pages = spark.createDataFrame(rows, "doc_id BIGINT, page_number INT, image STRING").coalesce(1)
+
+    def load():
+        with open(log, "a") as out:
+            out.write("'loaded'\n")
+
+        def model(inputs):
+            with open(log, "a") as out:
+                out.write(f"{inputs!r}\n")
+            return {"predictions": inputs, "repeats": []}
+
+        return model
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = O.infer_pages(pages, load=load, batch_size=3, laid_out=True)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r["doc_id"], r["page_number"]): (r["success"], r["error"], r["attempts"]) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 14 and got.pop((2, 3)) == (False, O.EMPTY_SAMPLE, 3)
+    assert set(got.values()) == {(True, None, 1)}
+    assert _calls(log) == [
+        "loaded", ["1.1", "1.2", "1.3"], ["1.4", "1.5", "1.6"], ["1.7"], ["2.1", "2.2"], ["2.4", "2.5", "2.6"], ["2.7"]
+    ]
+
+
+def test_a_named_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        with open(log, "a") as out:
+            out.write(f"{os.getpid()}\n")
+        return lambda inputs: {"predictions": inputs, "repeats": []}
+
+    pages = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit("x").alias("image")
+    ).repartition(20)
+    for _ in range(2):
+        assert O.infer_pages(pages, load=load, name=f"m{os.path.basename(tmp_path)}", laid_out=True).where("success").count() == 40
+    loads = _calls(log)
+    assert 1 <= len(loads) == len(set(loads))
+
+
+def test_empty_samples_and_one_model(spark):
+    pages = spark.createDataFrame([(1, 1, None), (1, None, "x")], "doc_id BIGINT, page_number INT, image STRING")
+    got = O.infer_pages(pages, lambda inputs: {"predictions": inputs}, max_retry=2).collect()
+    assert {(r["page_number"], r["success"], r["error"], r["attempts"]) for r in got} == {
+        (1, False, O.EMPTY_SAMPLE, 2), (None, True, None, 1)
+    }
+    with pytest.raises(ValueError):
+        O.infer_pages(pages)
+    assert O.infer_pages(pages.where("false"), lambda inputs: {}).count() == 0
+
+
 def test_no_text_is_shuffled_for_outcomes(spark):
     pages = O.page_markdown(spark.createDataFrame(make_pages(), DDL))
     docs = pages.select("doc_id").distinct().select("doc_id", F.lit("application/pdf").alias("content_type"), F.lit(1).alias("length"))
