@@ -8,7 +8,9 @@ threshold and shuffles otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pubmeta.functions.blank import is_blank
@@ -25,6 +27,7 @@ from pubmeta.schemas import (
     USER_ID_REQUIRED,
     USER_NOT_FOUND,
 )
+from pubmeta.sources.workspace import stored
 
 ADMIN = "ADMIN"
 ADMIN_CLAIM = "ROLE_ADMIN"
@@ -88,6 +91,65 @@ def effective_permissions(user_role: DataFrame, role_permissions: DataFrame, per
     return user_role.distinct().join(names, "role_id").select("user_id", "permission").distinct()
 
 
+#: Permission numbers that one bitmap covers; those beyond have bitmaps of their own.
+BITMAP_BITS = 32_768
+
+
+def permission_numbers(permissions: DataFrame) -> DataFrame:
+    """``(permission, number)``: one number per name, the smallest of its ids."""
+    return permissions.groupBy(F.col("name").alias("permission")).agg(F.min("id").alias("number"))
+
+
+def role_bitmaps(role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
+    """``(role_id, bucket, bits)``: the permissions of a role as bits, BITMAP_BITS of them in a row."""
+    numbers = permission_numbers(permissions)
+    ids = permissions.join(numbers, F.col("name") == F.col("permission")).select(F.col("id").alias("permission_id"), "number")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    bucket = F.bitmap_bucket_number("number").alias("bucket")
+    return role_permissions.join(ids, "permission_id").groupBy("role_id", bucket).agg(bits)
+
+
+def permission_sets(
+    user_role: DataFrame, role_permissions: DataFrame, permissions: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Users with the set of roles they hold, ``(user_id, role_set)``, and ``(role_set, bucket, bits)``.
+
+    Users that hold the same roles have the same permissions, so bitmaps are merged once per distinct set of roles, not
+    per user, and no row of a user and a permission is made. Sets are as many as there are combinations in use.
+    """
+    users = user_role.groupBy("user_id").agg(F.sort_array(F.collect_set("role_id")).alias("role_set"))
+    sets = users.select("role_set").distinct().select("role_set", F.explode("role_set").alias("role_id"))
+    merged = sets.join(role_bitmaps(role_permissions, permissions), "role_id").groupBy("role_set", "bucket")
+    return users, merged.agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bit_is_set(bits: Column, position: Column | int) -> Column:
+    """Whether a bitmap has the bit at ``position`` (from 0)."""
+    position = F.lit(position) if isinstance(position, int) else position
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0, F.lit(False))
+
+
+def users_with_permission(users: DataFrame, sets: DataFrame, number: int) -> DataFrame:
+    """``(user_id)`` that hold the permission of that number: a bit test per role set, then a semi join."""
+    bucket, position = divmod(number - 1, BITMAP_BITS)
+    if number <= 0:
+        bucket, position = -(-number // BITMAP_BITS), -number % BITMAP_BITS
+    else:
+        bucket += 1
+    holding = sets.where((F.col("bucket") == bucket) & bit_is_set(F.col("bits"), position))
+    return users.join(holding.select("role_set"), "role_set", "left_semi").select("user_id")
+
+
+def permissions_of_sets(sets: DataFrame, permissions: DataFrame) -> DataFrame:
+    """``(role_set, permission)`` read back from the bitmaps."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(BITMAP_BITS - 1)), lambda i: bit_is_set(F.col("bits"), i))
+    held = sets.select("role_set", "bucket", F.explode(places).alias("place"))
+    number = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BITMAP_BITS + F.col("place") + 1)
+    number = number.otherwise(F.col("bucket") * BITMAP_BITS - F.col("place"))
+    return held.withColumn("number", number).join(permission_numbers(permissions), "number").select("role_set", "permission")
+
+
 def users_holding(user_role: DataFrame, users: DataFrame, role_id: int) -> DataFrame:
     holders = user_role.where(F.col("role_id") == role_id).select(F.col("user_id").alias("id"))
     return users.join(holders, "id", "left_semi")
@@ -278,43 +340,118 @@ def create_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame)
     )
 
 
-def update_roles(requests: DataFrame, roles: DataFrame, permissions: DataFrame) -> DataFrame:
-    """``(id, name, description, permissions)`` against the role table, one request per role.
-
-    A blank name keeps the old one. The description is always overwritten. A
-    NULL permission list leaves the permissions alone, an empty one clears them.
-    Requests count as made in id order: of several that ask for one free name the
-    first acceptable one takes it. A name that another request gives up counts as in use.
+def update_roles(
+    requests: DataFrame, roles: DataFrame, permissions: DataFrame, order: str = "id"
+) -> DataFrame:
+    """Role updates as one after another would make them.
+
+    ``requests`` is ``(id, name, description, permissions)`` and a unique ``order``, by which requests count as
+    made; a role may have several. A blank name keeps the one the role has by then. The description is always
+    overwritten. A NULL permission list leaves the permissions alone, an empty one clears them. A name is in use while
+    a role has it: one that an earlier request gave up is free, so names move along chains and may be swapped over a
+    third name. Returns the request's key, ``id``, the role's ``name`` after the request, and ``error``.
+
+    Requests are settled in rounds. A round sees the names after all settled requests, and settles every request
+    whose outcome no open one can change:
+
+    - a name is held, and the role that holds it asks for no other name before the request: it is in use;
+    - a name is free, and the request is the first acceptable one for it and the first open renaming of its role: it
+      gets the name; requests before that one which lack a permission fail for that;
+    - the name is the role's own, and the role asks for no other before the request: nothing to rename.
+
+    The earliest open request is always among them. All requests for a name in use fall in one round, so rounds are as
+    many as names change hands one after another, not as there are requests. Each round reads stored tables, combines
+    on the map side, and joins per-name and per-role facts by ``lookup_facts``, so that neither a name nor a role with
+    most of the requests is one task.
     """
-    old = roles.select("id", F.col("name").alias("old_name"))
     given = normalize_role_name(F.col("name"))
-    joined = requests.join(old, "id", "left").withColumn("new_name", F.coalesce(given, F.col("old_name")))
-    used = roles.select(F.col("name").alias("new_name"), F.lit(True).alias("_used"))
-    checked = joined.join(used, "new_name", "left").join(
-        missing_permissions(requests, permissions, "id"), "id", "left"
-    )
-    renamed = F.col("old_name") != F.col("new_name")
-    open_ = renamed & F.col("_used").isNull() & F.col("missing").isNull()
-    first = checked.where(open_).groupBy("new_name").agg(F.min("id").alias("_winner"))
-    checked = checked.join(first, "new_name", "left")
+    asked = requests.withColumn("_at", F.col(order)).withColumn("target", given)
+    lacking = missing_permissions(asked.select("_at", "permissions"), permissions, "_at")
+    names = stored(roles.select("id", "name"), "role-names")
+    first_names = names
+    known = names.select(F.col("id").alias("_role"), F.lit(True).alias("_known"))
+    asked = asked.join(lacking, "_at", "left").join(known, F.col("id") == F.col("_role"), "left")
+    asked = stored(asked.drop("_role").withColumn("_known", F.coalesce("_known", F.lit(False))), "role-requests")
+    open_ = asked.where("_known").select("_at", "id", "target", F.col("missing").isNull().alias("ok"))
+    settled: list[DataFrame] = []
+    while not open_.isEmpty():
+        now, open_ = _settle(open_, names)
+        settled = [*settled, now] if len(settled) < 30 else [stored(reduce(DataFrame.unionByName, settled), "role-settled"), now]
+        renamed = now.where("renamed").select("id", F.col("target").alias("_new"))
+        names = names.join(renamed, "id", "left").select("id", F.coalesce("_new", "name").alias("name"))
+        names = stored(names, "role-names")
+    none = open_.select("_at", "id", "target", F.lit(False).alias("in_use"), F.lit(False).alias("renamed"))
+    taken = reduce(DataFrame.unionByName, settled, none)
+    verdicts = taken.select(F.col("_at").alias("_verdict_at"), "in_use", "renamed")
+    checked = asked.join(verdicts, F.col("_at") == F.col("_verdict_at"), "left")
     error = (
-        F.when(F.col("old_name").isNull(), F.lit(ROLE_NOT_FOUND))
-        .when(renamed & (F.col("_used").isNotNull() | (F.col("id") > F.col("_winner"))), F.lit(ROLE_EXISTS))
+        F.when(~F.col("_known"), F.lit(ROLE_NOT_FOUND))
+        .when(F.col("in_use"), F.lit(ROLE_EXISTS))
         .when(F.col("missing").isNotNull(), F.concat(F.lit(PERMISSION_NOT_FOUND), F.col("missing")))
     )
-    return checked.select(
-        "id",
-        F.when(error.isNull(), F.col("new_name")).otherwise(F.col("old_name")).alias("name"),
+    checked = checked.withColumn("error", error)
+    # the name a role has after a request: of its renamings up to then the last, else the one it began with
+    begun = first_names.select(F.col("id").alias("_role"), F.lit(None).cast(asked.schema["_at"].dataType).alias("_from"), F.col("name").alias("_had"))
+    later = taken.where("renamed").select(F.col("id").alias("_role"), F.col("_at").alias("_from"), F.col("target").alias("_had"))
+    spans = begun.unionByName(later).withColumn(
+        "_until", F.lead("_from").over(Window.partitionBy("_role").orderBy(F.col("_from").asc_nulls_first()))
+    )
+    held = (
+        (F.col("id") == F.col("_role"))
+        & (F.col("_from").isNull() | (F.col("_from") <= F.col("_at")))
+        & (F.col("_until").isNull() | (F.col("_at") < F.col("_until")))
+    )
+    named = checked.join(stored(spans, "role-spans"), held, "left")
+    keys = ["id"] if order == "id" else [order, "id"]
+    return named.select(
+        *keys,
+        F.col("_had").alias("name"),
         "description",
         "permissions",
         F.col("permissions").isNotNull().alias("replaces_permissions"),
-        error.alias("error"),
+        "error",
     )
 
 
+def _settle(open_: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over open requests ``(_at, id, target, ok)``: settled ones with ``in_use, renamed``, and the rest."""
+    # per role: its name now, its number of open requests, and its first open request for another name
+    mine = names.select("id", F.col("name").alias("own"))
+    sizes = open_.groupBy("id").agg(F.count(F.lit(1)).alias("_rows"))
+    known = lookup_facts(open_, stored(mine.join(sizes, "id"), "role-facts"), "id", "_at", "_rows")
+    moves = known.where(F.col("ok") & F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("own")))
+    moves = stored(moves, "role-moves")
+    heads = moves.groupBy("id").agg(F.min("_at").alias("head"))
+    by_role = mine.join(sizes, "id").join(heads, "id", "left")
+    # per name: who has it, when that role may give it up, and the first acceptable request for it
+    freed = F.when(F.count("head") == F.count(F.lit(1)), F.max("head"))
+    holders = names.join(heads, "id", "left").groupBy(F.col("name").alias("target"))
+    holders = holders.agg(freed.alias("freed")).withColumn("held", F.lit(True))
+    firsts = moves.groupBy("target").agg(F.min("_at").alias("first"))
+    wanted = open_.where(F.col("target").isNotNull()).groupBy("target").agg(F.count(F.lit(1)).alias("_rows"))
+    by_name = wanted.join(holders, "target", "left").join(firsts, "target", "left")
+    rows = lookup_facts(open_, stored(by_role, "role-heads"), "id", "_at", "_rows")
+    rows = lookup_facts(rows, stored(by_name, "role-wanted"), "target", "_at", "_rows")
+    at, before = F.col("_at"), lambda limit: F.col(limit).isNull() | (F.col("_at") < F.col(limit))
+    keeps = F.col("target").isNull() | F.col("target").eqNullSafe(F.col("own"))
+    held = F.coalesce("held", F.lit(False))
+    wins = ~keeps & ~held & F.col("ok") & (at == F.col("first")) & (at == F.col("head"))
+    lacks = ~keeps & ~held & ~F.col("ok") & before("first")
+    in_use = ~keeps & held & before("freed")
+    done = (keeps & before("head")) | wins | lacks | in_use
+    flags = {"done": done, "in_use": in_use, "renamed": wins}
+    rows = rows.select("_at", "id", "target", "ok", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
+    rows = stored(rows, "role-round")
+    return rows.where("done").select("_at", "id", "target", "in_use", "renamed"), rows.where("NOT done").select(*open_.columns)
+
+
 def updated_role_edges(role_permissions: DataFrame, updates: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Role-permission edges after the error-free updates that carry a permission list."""
+    """Role-permission edges after the error-free updates that carry a permission list; a role's last one counts.
+
+    Updates of a role count in the order of their first column.
+    """
     valid = updates.where("error IS NULL AND replaces_permissions")
+    valid = valid.groupBy("id").agg(F.max_by("permissions", F.col(updates.columns[0])).alias("permissions"))
     kept = role_permissions.join(valid.select(F.col("id").alias("role_id")), "role_id", "left_anti")
     names = valid.select(F.col("id").alias("role_id"), F.explode("permissions").alias("name"))
     ids = permissions.select(F.col("id").alias("permission_id"), "name")

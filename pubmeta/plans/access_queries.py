@@ -59,6 +59,14 @@ def _(s: Source) -> DataFrame:
     return A.effective_permissions(edges, rp, p)
 
 
+@query("agg7_permission_bitmaps", EFFECTIVE)
+def _(s: Source) -> DataFrame:
+    """The same from bitmaps per distinct set of roles; users and permissions meet in the last join only."""
+    _, edges, _, rp, p = graph(s)
+    users, sets = A.permission_sets(edges, rp, p)
+    return users.join(A.permissions_of_sets(sets, p), "role_set").select("user_id", "permission")
+
+
 CLAIMS = f"""
     SELECT sub, CASE WHEN grp IS NULL THEN NULL WHEN starts_with(grp, 'ROLE_') THEN grp ELSE 'ROLE_' || grp END AS role,
       CASE WHEN trim(scope) <> '' THEN 'SCOPE_' || split_part(scope, '  ', 2) END AS scope FROM ({PRINCIPALS.format(customer='customer')})
@@ -195,14 +203,13 @@ def _(s: Source) -> DataFrame:
 # --- set changes ------------------------------------------------------------
 
 TARGET = """
-    SELECT DISTINCT CAST(o_custkey AS STRING) AS user_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1 AS role_id
-    FROM {orders} WHERE o_orderstatus = 'O'
+    SELECT DISTINCT CAST(l_suppkey * 15 AS STRING) AS user_id, CAST(l_linenumber % 5 AS BIGINT) AS role_id FROM {lineitem}
 """
 
 
 @query(
     "set1_role_changes",
-    f"""WITH t AS ({TARGET.format(orders='orders')})
+    f"""WITH t AS ({TARGET.format(lineitem='lineitem')})
         SELECT user_id, role_id, 'add' AS action FROM (SELECT * FROM t EXCEPT SELECT user_id, role_id FROM user_roles)
         UNION ALL
         SELECT user_id, role_id, 'remove' FROM (SELECT user_id, role_id FROM user_roles EXCEPT SELECT * FROM t)""",
@@ -302,7 +309,7 @@ def _(s: Source) -> DataFrame:
 
 @query(
     "ent2_grant",
-    f"SELECT user_id, role_id FROM user_roles UNION SELECT user_id, role_id FROM ({TARGET.format(orders='orders')})",
+    f"SELECT user_id, role_id FROM user_roles UNION SELECT user_id, role_id FROM ({TARGET.format(lineitem='lineitem')})",
 )
 def _(s: Source) -> DataFrame:
     return A.grant(s.view("user_roles"), s.sql(TARGET))
@@ -310,7 +317,7 @@ def _(s: Source) -> DataFrame:
 
 @query(
     "ent2_revoke",
-    f"SELECT user_id, role_id FROM user_roles EXCEPT SELECT user_id, role_id FROM ({TARGET.format(orders='orders')})",
+    f"SELECT user_id, role_id FROM user_roles EXCEPT SELECT user_id, role_id FROM ({TARGET.format(lineitem='lineitem')})",
 )
 def _(s: Source) -> DataFrame:
     return A.revoke(s.view("user_roles"), s.sql(TARGET)).select("user_id", "role_id")
@@ -319,7 +326,7 @@ def _(s: Source) -> DataFrame:
 REPLACE = """
     SELECT CASE WHEN c_acctbal < 0 THEN 'x' || CAST(c_custkey AS STRING) ELSE CAST(c_custkey AS STRING) END AS user_id,
       CAST(c_nationkey AS BIGINT) AS nation
-    FROM {customer} WHERE c_mktsegment = 'HOUSEHOLD'
+    FROM {customer}
 """
 # Role ids asked for: the nation key (unknown from 5 on) and role 1.
 REPLACE_ERROR = "CASE WHEN user_id LIKE 'x%' THEN 'User not found' WHEN nation > 4 THEN 'Role not found' END"
@@ -389,6 +396,15 @@ def _(s: Source) -> DataFrame:
     return rows.select("sub", A.has_permission(F.col("permissions"), F.array("grp"), "PERM_NATION_3").alias("allowed"))
 
 
+@query(
+    "ent5_permission_bit",
+    f"SELECT DISTINCT user_id FROM ({EFFECTIVE}) WHERE permission = 'PERM_NATION_3'",
+)
+def _(s: Source) -> DataFrame:
+    _, edges, _, rp, p = graph(s)
+    return A.users_with_permission(*A.permission_sets(edges, rp, p), 3)
+
+
 @query(
     "ent6_group_claims",
     f"""WITH c AS ({CLAIMS})
@@ -436,8 +452,8 @@ def role_updates(s: Source) -> DataFrame:
 
 @query(
     "ent8_update_roles",
-    f"""SELECT u.id, CASE WHEN u.id = 3 THEN 'NEW_NAME' ELSE r.name END AS name, u.description,
-          CASE WHEN r.id IS NULL THEN 'Role not found' WHEN u.id IN (1, 4) THEN 'Role already exists'
+    f"""SELECT u.id, CASE u.id WHEN 3 THEN 'NEW_NAME' WHEN 4 THEN 'RESEARCHER' ELSE r.name END AS name, u.description,
+          CASE WHEN r.id IS NULL THEN 'Role not found' WHEN u.id = 1 THEN 'Role already exists'
             WHEN u.id = 2 THEN 'Permission not found: PERM_Q' END AS error
         FROM ({ROLE_UPDATES.format(nation='nation')}) u LEFT JOIN roles r ON r.id = u.id""",
 )
@@ -455,6 +471,49 @@ def _(s: Source) -> DataFrame:
     return A.updated_role_edges(s.view("role_permissions"), role_updates(s), s.view("permissions"))
 
 
+# Many updates of few roles: names are taken, given up and asked for again.
+RENAMINGS = """
+    SELECT CAST(s_suppkey AS BIGINT) AS request_id,
+      CAST(CASE WHEN s_suppkey % 13 = 0 THEN 100 ELSE s_nationkey END AS BIGINT) AS id,
+      CASE WHEN s_suppkey % 4 = 0 THEN ' ' ELSE 'team  ' || CAST(s_suppkey * 7 % 61 AS STRING) END AS name,
+      s_name AS description, CASE WHEN s_suppkey % 11 = 0 THEN 'PERM_Q' END AS names
+    FROM {supplier}
+"""
+
+
+@query(
+    "ent8_sequential_updates",
+    f"""
+    WITH RECURSIVE q AS (
+      SELECT row_number() OVER (ORDER BY request_id) AS n, request_id, id, description, names,
+        CASE WHEN trim(name) <> '' THEN upper(replace(name, '  ', '_')) END AS target
+      FROM ({RENAMINGS.format(supplier='supplier')})),
+    walk(n, held, request_id, id, name, error) AS (
+      SELECT CAST(0 AS BIGINT), (SELECT list('TEAM_' || CAST(n_nationkey AS VARCHAR) ORDER BY n_nationkey) FROM nation),
+        CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+      UNION ALL
+      SELECT n, held, request_id, id, held[id + 1], error FROM (
+        SELECT n, request_id, id, error,
+          CASE WHEN error IS NULL AND target IS NOT NULL
+            THEN held[:id] || [target] || held[id + 2:] ELSE held END AS held
+        FROM (
+          SELECT q.n, q.request_id, q.id, q.target, walk.held,
+            CASE WHEN q.id >= len(walk.held) THEN 'Role not found'
+              WHEN target IS NOT NULL AND target <> walk.held[q.id + 1] AND list_contains(walk.held, target) THEN 'Role already exists'
+              WHEN names IS NOT NULL THEN 'Permission not found: PERM_Q' END AS error
+          FROM walk JOIN q ON q.n = walk.n + 1)))
+    SELECT request_id, id, name, error FROM walk WHERE n > 0
+    """,
+)
+def _(s: Source) -> DataFrame:
+    roles = s.table("nation").select(
+        F.col("n_nationkey").cast("bigint").alias("id"),
+        F.concat(F.lit("TEAM_"), F.col("n_nationkey").cast("string")).alias("name"),
+    )
+    requests = s.sql(RENAMINGS).withColumn("permissions", F.split("names", ",")).drop("names")
+    return A.update_roles(requests, roles, s.view("permissions"), "request_id").select("request_id", "id", "name", "error")
+
+
 USER_REQUESTS = """
     SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE 'u' || CAST(o_orderkey AS STRING) END AS id,
       'User ' || CAST(o_custkey AS STRING) AS full_name,

@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
     """,
     "user_roles": """
         SELECT DISTINCT CAST(o_custkey AS STRING) AS user_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1 AS role_id
-        FROM {orders} WHERE o_orderstatus = 'F'
+        FROM {orders}
     """,
     "uploads": """
         SELECT doc_id AS paper_id, doc_id AS version_id,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pubmeta.operators import ingest as I
 from pubmeta.plans.base import Source, query
 from pubmeta.sources import readers, sinks
+from pubmeta.sources.keyed import write_keyed
 from pubmeta.sources.workspace import new_folder
 
 NOW = "TIMESTAMP '2026-01-01 00:00:00Z'"
@@ -43,6 +44,26 @@ def _(s: Source) -> DataFrame:
     return readers.read_uploads(s.spark, s.folder).select("file_name", "content_type", "length")
 
 
+@query(
+    "src1_uploaded_bytes",
+    """SELECT CAST(n_nationkey AS BIGINT) AS upload, 'text/plain' AS content_type, CAST(octet_length(encode(line)) + 1 AS BIGINT) AS length,
+         sha256(line || chr(10)) AS sha256
+       FROM (SELECT n_nationkey, n_name || ' ' || CAST(n_regionkey AS VARCHAR) AS line FROM nation)""",
+)
+def _(s: Source) -> DataFrame:
+    """Nations as uploaded text files, one each, read back with their bytes."""
+    path = new_folder(s.spark, "uploaded")
+    line = F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")).alias("line")
+    s.table("nation").select("n_nationkey", line).write.partitionBy("n_nationkey").text(path)
+    files = readers.read_uploads(s.spark, path, with_bytes=True)
+    return files.select(
+        F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("bigint").alias("upload"),
+        "content_type",
+        "length",
+        F.sha2("content", 256).alias("sha256"),
+    )
+
+
 @query(
     "src3_read_crossref",
     """SELECT '10.1000/p' || CAST(p_partkey AS VARCHAR) AS doi, 'CR ' || p_name AS title, '1-9' AS page, 3 AS authors FROM part""",
@@ -113,6 +134,31 @@ CHANGED = """
 """
 
 
+def new_users(s: Source) -> DataFrame:
+    return s.table("supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),
+        F.col("s_name").alias("full_name"),
+        F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"),
+        F.lit(False).alias("deleted"),
+    )
+
+
+@query(
+    "snk3_upsert_buckets",
+    f"""WITH changed AS ({CHANGED})
+        SELECT * FROM changed UNION ALL
+        SELECT id, full_name, email, deleted FROM users u WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.id = u.id)""",
+)
+def _(s: Source) -> DataFrame:
+    """The same upsert into a keyed table, twice over: only buckets that changes fall into are rewritten."""
+    users = s.view("users")
+    table = write_keyed(users, new_folder(s.spark, "users-keyed"), "id", 32)
+    changed = users.where("deleted").withColumn("full_name", F.upper("full_name"))
+    table.upsert(changed.unionByName(new_users(s)))
+    table.upsert(new_users(s))
+    return table.table()
+
+
 @query(
     "snk3_upsert_table",
     f"""WITH changed AS ({CHANGED})
@@ -122,12 +168,7 @@ CHANGED = """
 def _(s: Source) -> DataFrame:
     users = s.view("users")
     changed = users.where("deleted").withColumn("full_name", F.upper("full_name"))
-    added = s.table("supplier").select(
-        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),
-        F.col("s_name").alias("full_name"),
-        F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"),
-        F.lit(False).alias("deleted"),
-    )
+    added = new_users(s)
     root = new_folder(s.spark, "users")
     path = sinks.write_snapshot(sinks.upsert_table(users, changed.unionByName(added), "id"), root, 2)
     return s.spark.read.parquet(path)

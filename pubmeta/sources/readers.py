@@ -9,18 +9,45 @@ from pyspark.sql import types as T
 from pubmeta.schemas import CROSSREF_WORK_DDL, EVENT_ROWS_DDL, TABLES, TEI_DOCS_DDL, struct_type
 
 
-def read_uploads(spark: SparkSession, path: str, content_type: str = "application/pdf") -> DataFrame:
+# Content types by file extension, and what a PDF begins with.
+CONTENT_TYPES = {
+    "pdf": "application/pdf",
+    "txt": "text/plain",
+    "md": "text/markdown",
+    "htm": "text/html",
+    "html": "text/html",
+    "xml": "application/xml",
+    "json": "application/json",
+    "zip": "application/zip",
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+}
+OTHER_TYPE = "application/octet-stream"
+PDF_MAGIC = b"%PDF-"
+
+
+def read_uploads(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFrame:
     """Files under ``path`` as ``(file_name, content_type, length, modified_at, path)``.
 
-    File bytes are left out, so only the listing is read.
+    Spark's file readers pass over files without a byte, so those do not appear (a manifest lists them). The type
+    follows from the extension, in any case. Without bytes only the listing is read. ``with_bytes`` adds
+    ``content``, and the type is measured: what begins like a PDF is one, and what only has its name is not.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.substring_index("path", "/", -1)
+    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    named = F.coalesce(known[extension], F.lit(OTHER_TYPE))
+    is_pdf = F.substring("content", 1, len(PDF_MAGIC)) == F.lit(PDF_MAGIC)
+    measured = F.when(is_pdf, CONTENT_TYPES["pdf"]).when(named == CONTENT_TYPES["pdf"], OTHER_TYPE).otherwise(named)
     return files.select(
-        F.substring_index("path", "/", -1).alias("file_name"),
-        F.lit(content_type).alias("content_type"),
+        name.alias("file_name"),
+        (measured if with_bytes else named).alias("content_type"),
         "length",
         F.col("modificationTime").alias("modified_at"),
         "path",
+        *(["content"] if with_bytes else []),
     )
 
 

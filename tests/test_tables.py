@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -285,6 +286,125 @@ def test_two_roles_cannot_take_one_name(spark):
     assert got[2] == ("ROLE_B", False) and got[1][1] and got[1][0] != "ROLE_A"
 
 
+def _one_by_one(requests, roles, permissions):
+    """Role updates as a loop makes them."""
+    names, out = dict(roles), {}
+    for key, role, name, _, wanted in sorted(requests):
+        target = "_".join(name.upper().split()) if name and name.strip() else None
+        missing = next((p for p in wanted or [] if p not in permissions), None)
+        if role not in names:
+            out[key] = (role, None, "Role not found")
+            continue
+        error = None
+        if target is not None and target != names[role] and target in names.values():
+            error = "Role already exists"
+        elif missing is not None:
+            error = f"Permission not found: {missing}"
+        elif target is not None:
+            names[role] = target
+        out[key] = (role, names[role], error)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_role_updates_like_one_by_one(spark, seed):
+    from pubmeta.operators.access import update_roles
+
+    rng = random.Random(seed)
+    roles = [(i, f"N{i}") for i in range(1, 9)]
+    names = [f"n{i}" for i in range(1, 13)] + [None, " "]
+    requests = [
+        (k, rng.choice([*range(1, 9), 99] if seed else [1, 2]), rng.choice(names), None, rng.choice([None, None, [], ["p"], ["p", "q"]]))
+        for k in rng.sample(range(1000), 60)
+    ]
+    ddl = "request_id LONG, id LONG, name STRING, description STRING, permissions ARRAY<STRING>"
+    got = update_roles(
+        spark.createDataFrame(requests, ddl).repartition(3),
+        spark.createDataFrame(roles, "id LONG, name STRING"),
+        spark.createDataFrame([(1, "p")], "id LONG, name STRING"),
+        "request_id",
+    ).collect()
+    assert len(got) == len(requests)
+    assert {r["request_id"]: (r["id"], r["name"], r["error"]) for r in got} == _one_by_one(requests, roles, {"p"})
+
+
+def test_names_move_along_chains_and_are_swapped(spark):
+    from pubmeta.operators.access import update_roles, updated_role_edges
+
+    roles = [(1, "A"), (2, "B"), (3, "C")]
+    requests = [
+        (1, 1, "b", None, None),  # in use
+        (2, 1, "spare", None, ["p"]),
+        (3, 2, "a", None, None),  # given up by 1
+        (4, 1, "b", None, []),  # given up by 2
+        (5, 3, "spare", None, ["q"]),  # given up again
+        (6, 2, "c", None, None),
+        (7, 3, "spare", None, None),  # its own
+    ]
+    ddl = "request_id LONG, id LONG, name STRING, description STRING, permissions ARRAY<STRING>"
+    permissions = spark.createDataFrame([(1, "p"), (2, "q")], "id LONG, name STRING")
+    updates = update_roles(spark.createDataFrame(requests, ddl), spark.createDataFrame(roles, "id LONG, name STRING"), permissions, "request_id")
+    got = {r["request_id"]: (r["name"], r["error"]) for r in updates.collect()}
+    assert got == _strip(_one_by_one(requests, roles, {"p", "q"}))
+    assert got[4] == ("B", None) and got[6] == ("C", None)
+    edges = spark.createDataFrame([(1, 1), (2, 2), (1, 3)], "permission_id LONG, role_id LONG")
+    left = updated_role_edges(edges, updates, permissions)
+    assert {tuple(r) for r in left.select("permission_id", "role_id").collect()} == {(2, 2), (2, 3)}
+
+
+def _strip(found):
+    return {k: v[1:] for k, v in found.items()}
+
+
+def test_a_name_that_all_ask_for_takes_few_rounds(spark, monkeypatch):
+    from pubmeta.operators import access
+
+    rounds = []
+    settle = access._settle
+    monkeypatch.setattr(access, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    roles = [(i, f"N{i}") for i in range(300)]
+    requests = [(i, "wanted", None, None) for i in range(300)]
+    ddl = "id LONG, name STRING, description STRING, permissions ARRAY<STRING>"
+    got = access.update_roles(
+        spark.createDataFrame(requests, ddl), spark.createDataFrame(roles, "id LONG, name STRING"), spark.createDataFrame([], "id LONG, name STRING")
+    ).collect()
+    assert sorted(r["id"] for r in got if r["error"] is None) == [0] and len(rounds) <= 2
+
+
+@pytest.mark.parametrize("low", [1, -40_000, 32_760, 1 << 40])
+def test_permission_bitmaps(spark, low):
+    """Bits of ids on both sides of a bitmap's border, against plain sets."""
+    from pubmeta.operators import access as A
+
+    rng = random.Random(low)
+    ids = [low + 7 * i for i in range(20)]
+    permissions = spark.createDataFrame([(i, f"p{i}") for i in ids] + [(ids[-1] + 1, f"p{ids[-1]}")], "id LONG, name STRING")
+    edges = [(rng.choice([*ids, ids[-1] + 1]), role) for role in range(6) for _ in range(5)]
+    held = [(f"u{u}", rng.randrange(7)) for u in range(12) for _ in range(3)] + [("u1", 0)] * 5
+    user_role = spark.createDataFrame(held, "user_id STRING, role_id LONG")
+    role_permissions = spark.createDataFrame(edges, "permission_id LONG, role_id LONG")
+    users, sets = A.permission_sets(user_role, role_permissions, permissions)
+    got = {tuple(r) for r in users.join(A.permissions_of_sets(sets, permissions), "role_set").select("user_id", "permission").collect()}
+    want = {tuple(r) for r in A.effective_permissions(user_role, role_permissions, permissions).collect()}
+    assert got == want
+    for i in (ids[0], ids[7], ids[-1]):
+        holding = [r["user_id"] for r in A.users_with_permission(users, sets, i).collect()]
+        assert sorted(holding) == sorted(u for u, p in want if p == f"p{i}")
+
+
+def test_content_types_are_measured(spark, tmp_path):
+    for name, data in {"a.PDF": b"%PDF-1.7 x", "b.pdf": b"text", "c.txt": b"%PDF-", "d.md": b"# T", "e": b"?", "f.tar.zip": b"PK"}.items():
+        (tmp_path / name).write_bytes(data)
+    def kinds(df):
+        return {r["file_name"]: r["content_type"] for r in df.collect()}
+    listed = readers.read_uploads(spark, str(tmp_path))
+    assert "content" not in listed.columns
+    assert kinds(listed) == {"a.PDF": "application/pdf", "b.pdf": "application/pdf", "c.txt": "text/plain", "d.md": "text/markdown", "e": "application/octet-stream", "f.tar.zip": "application/zip"}
+    read = readers.read_uploads(spark, str(tmp_path), with_bytes=True)
+    assert kinds(read) == {"a.PDF": "application/pdf", "b.pdf": "application/octet-stream", "c.txt": "application/pdf", "d.md": "text/markdown", "e": "application/octet-stream", "f.tar.zip": "application/zip"}
+    assert {r["file_name"]: (bytes(r["content"]), r["length"]) for r in read.collect()}["a.PDF"] == (b"%PDF-1.7 x", 10)
+
+
 def test_json_lists_round_trip(spark):
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
