@@ -9,6 +9,8 @@ from pubmeta.operators import access as A
 from pubmeta.operators import reads as R
 from pubmeta.plans.base import Source, query
 from pubmeta.plans.text_queries import PRINCIPALS
+from pubmeta.sources.ranked import write_ranked
+from pubmeta.sources.workspace import new_folder
 
 # Permission names per role and per user, as the checking database sees them.
 PERMS = "(SELECT DISTINCT rp.role_id, p.name FROM role_permissions rp JOIN permissions p ON p.id = rp.permission_id)"
@@ -147,6 +149,22 @@ def _(s: Source) -> DataFrame:
     return A.page_after(s.table("orders"), 700, 20, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
+@query(
+    "topk2_ranked_page",
+    """SELECT o_orderkey, name FROM (
+         SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'changed' ELSE o_orderpriority END AS name FROM orders
+         UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 100 = 1)
+       ORDER BY o_orderkey LIMIT 20 OFFSET 300""",
+)
+def _(s: Source) -> DataFrame:
+    """A deep page by stored range counts, after changes and new keys before all others."""
+    orders = s.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("name"))
+    table = write_ranked(orders, new_folder(s.spark, "ranked"), "o_orderkey", rows_per_range=100)
+    table.upsert(orders.where("o_orderkey % 50 = 0").withColumn("name", F.lit("changed")))
+    table.upsert(orders.where("o_orderkey % 100 = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("name")))
+    return table.page(15, 20)
+
+
 @query("rd2_find_role", f"SELECT id, name, deleted, permissions FROM {ROLE_SETS} WHERE name = 'RESEARCHER'")
 def _(s: Source) -> DataFrame:
     _, _, roles, rp, p = graph(s)
