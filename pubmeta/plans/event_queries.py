@@ -16,6 +16,7 @@ from pubmeta.sources.readers import stream_events
 from pubmeta.sources.sinks import latest_changes, upsert_table
 from pubmeta.sources.workspace import new_folder
 from pubmeta.streaming import jobs as S
+from pubmeta.streaming.outbox_store import OutboxStore, publish_store
 from pubmeta.streaming.state import skip_finished, use_keyed_state
 
 NOW = "TIMESTAMP '2026-01-01 00:00:00Z'"
@@ -201,6 +202,27 @@ def _(s: Source) -> DataFrame:
     return s.spark.read.parquet(out)
 
 
+@query(
+    "str1_publish_slots",
+    """SELECT id, key, payload AS value, topic, status = 'Failed' AS was_failed FROM outbox_messages WHERE status <> 'Published'
+       ORDER BY created_at, id LIMIT 40""",
+)
+def _(s: Source) -> DataFrame:
+    """Two ticks over an outbox stored by status: each reads the slots with the oldest open messages only."""
+    inbox, root, topic = (new_folder(s.spark, n) for n in ("ticks", "outbox-store", "topic"))
+    base = s.view("outbox_messages")
+    store = OutboxStore(s.spark, root)
+    store.add(base)
+    for tick in ("t1", "t2"):
+        deliver(s.spark.createDataFrame([(tick, tick)], "key STRING, value STRING"), inbox, tick)
+        ticks = stream_events(s.spark, f"{inbox}/*", "parquet")
+        run(publish_store(ticks, store, S.send_to_table(topic), f"{root}-state", now=F.expr(NOW)))
+    sent = store.published().where("published_at IS NOT NULL").withColumnRenamed("payload", "value")
+    rows = s.spark.read.parquet(topic).groupBy("key", "value", "topic").agg(F.count(F.lit(1)).alias("sent"))
+    before = base.select("id", (F.col("status") == "Failed").alias("was_failed"))
+    return sent.join(rows, ["key", "value", "topic"]).join(before, "id").select("id", "key", "value", "topic", "was_failed")
+
+
 @query(
     "str1_publish_outbox",
     """SELECT id, key, payload AS value, topic FROM outbox_messages WHERE status <> 'Published'
