@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pubmeta.functions.blank import is_blank
 from pubmeta.functions.text import file_stem, safe_file_name, trim_all
+from pubmeta.operators.quality import write_observed
 from pubmeta.schemas import (
     AUTHOR_DDL,
     EMPTY_FILE,
@@ -46,6 +47,15 @@ def validate_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
+def write_judged(uploads: DataFrame, path: str) -> DataFrame:
+    """Write uploads with their ``reason`` and count the accepted and rejected ones on the way: ``(reason, rows)``."""
+    judged = with_reason(uploads)
+    conditions = {("reason", r): F.col("reason") == r for r in (INVALID_PDF, EMPTY_FILE)}
+    conditions[("reason", "accepted")] = F.col("reason").isNull()
+    counts = write_observed(judged, path, conditions)
+    return counts.where(F.col("column") == "reason").select(F.col("problem").alias("reason"), "rows")
+
+
 def paper_title(title: Column, file_name: Column) -> Column:
     return F.when(is_blank(title), file_stem(file_name)).otherwise(trim_all(title))
 

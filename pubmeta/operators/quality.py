@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pubmeta.functions.blank import is_blank
@@ -76,32 +76,61 @@ def _violations(df: DataFrame, key: str, checks: list[Column]) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(hits).alias("v")).select("id", "v.*")
 
 
+def _too_long(df: DataFrame, table: str) -> list[tuple[str, int, Column]]:
+    return [(c, limit, F.length(c) > limit) for c, limit in MAX_LENGTHS.get(table, {}).items() if c in df.columns]
+
+
+def _not_as_required(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
+    found = [(c, "missing", F.col(c).isNull()) for c in REQUIRED.get(table, ()) if c in df.columns]
+    domains = DOMAINS.get(table, {}).items()
+    return found + [(c, "not allowed", ~F.col(c).isin(*allowed)) for c, allowed in domains if c in df.columns]
+
+
 def length_violations(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     """``(id, column, length, max_length)`` for every text longer than its column allows."""
     checks = [
         F.when(
-            F.length(name) > limit,
+            broken,
             F.struct(
                 F.lit(name).alias("column"), F.length(name).alias("length"), F.lit(limit).alias("max_length")
             ),
         )
-        for name, limit in MAX_LENGTHS[table].items()
-        if name in df.columns
+        for name, limit, broken in _too_long(df, table)
     ]
     return _violations(df, key, checks)
 
 
 def required_violations(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     """``(id, column, problem)`` for missing required values and statuses out of their domain."""
+    checks = [
+        F.when(broken, F.struct(F.lit(name).alias("column"), F.lit(problem).alias("problem")))
+        for name, problem, broken in _not_as_required(df, table)
+    ]
+    return _violations(df, key, checks)
 
-    def found(condition: Column, name: str, problem: str) -> Column:
-        return F.when(condition, F.struct(F.lit(name).alias("column"), F.lit(problem).alias("problem")))
 
-    checks = [found(F.col(c).isNull(), c, "missing") for c in REQUIRED[table] if c in df.columns]
-    for name, allowed in DOMAINS.get(table, {}).items():
-        if name in df.columns:
-            checks.append(found(~F.col(name).isin(*allowed), name, "not allowed"))
-    return _violations(df, key, checks)
+def write_observed(
+    df: DataFrame, path: str, conditions: dict[tuple[str, str], Column], mode: str = "overwrite"
+) -> DataFrame:
+    """Write a batch and count the rows that meet each condition while it is written: ``(column, problem, rows)``.
+
+    The counts are taken as the rows pass on their way to the files, so nothing is read or computed twice, and they
+    are of what was written. A last row, ``* / rows``, counts all rows.
+    """
+    names = list(conditions)
+    counts = [F.count_if(F.coalesce(conditions[n], F.lit(False))).alias(f"c{i}") for i, n in enumerate(names)]
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.mode(mode).parquet(path)
+    found = seen.get
+    rows = [(*n, int(found[f"c{i}"])) for i, n in enumerate(names)] + [("*", "rows", int(found["rows"]))]
+    return df.sparkSession.createDataFrame(rows, "column STRING, problem STRING, rows BIGINT")
+
+
+def write_checked(df: DataFrame, table: str, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write rows of a table and count, on the way, what the length and value rules find in them."""
+    conditions = {(c, "too long"): broken for c, _, broken in _too_long(df, table)}
+    conditions |= {(c, problem): broken for c, problem, broken in _not_as_required(df, table)}
+    return write_observed(df, path, conditions, mode)
 
 
 def unique_violations(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -134,6 +134,14 @@ CHANGED = """
 """
 
 
+@query(
+    "ing3_observed_rejections",
+    f"""SELECT coalesce({REASON}, 'accepted') AS reason, count(*) AS rows FROM uploads GROUP BY 1""",
+)
+def _(s: Source) -> DataFrame:
+    return I.write_judged(s.view("uploads"), new_folder(s.spark, "judged"))
+
+
 def new_users(s: Source) -> DataFrame:
     return s.table("supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"),

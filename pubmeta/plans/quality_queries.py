@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pubmeta.operators import quality as Q
 from pubmeta.plans.base import Source, query
+from pubmeta.sources.workspace import new_folder
 
 
 @query(
@@ -50,6 +51,25 @@ def _(s: Source) -> DataFrame:
     return Q.required_violations(s.sql(STATUSES), "outbox_messages")
 
 
+@query(
+    "q2_observed_on_write",
+    f"""WITH t AS ({STATUSES.format(events='events')})
+        SELECT 'id' AS "column", 'missing' AS problem, count_if(id IS NULL) AS rows FROM t
+        UNION ALL SELECT 'topic', 'missing', count_if(topic IS NULL) FROM t
+        UNION ALL SELECT 'payload', 'missing', count_if(payload IS NULL) FROM t
+        UNION ALL SELECT 'status', 'missing', count_if(status IS NULL) FROM t
+        UNION ALL SELECT 'status', 'not allowed', count_if(status NOT IN ('Pending', 'Processing', 'Published', 'Failed')) FROM t
+        UNION ALL SELECT '*', 'rows', count(*) FROM t""",
+)
+def _(s: Source) -> DataFrame:
+    """The value rules counted while the batch is written."""
+    names = ["id", "topic", "payload", "status", "*"]
+    counts = Q.write_checked(s.sql(STATUSES), "outbox_messages", new_folder(s.spark, "checked"))
+    return counts.where(F.col("column").isin(names) & (F.col("problem") != "too long")).select(
+        "column", "problem", F.col("rows").cast("bigint").alias("rows")
+    )
+
+
 @query(
     "q3_unique_violations",
     """SELECT paper_id, version_number, count(*) AS rows FROM paper_versions
