@@ -6,7 +6,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ from pubmeta.llm.common import Scratch, crc_of_id
 
 #: Labelled rows that the lexicon and its calibration are fitted on, of each label.
 ROWS_PER_LABEL = 10_000
-#: Entries and exceptions kept, by weight of evidence.
+#: Entries kept by weight of evidence, and exceptions by frequency: the default bound of a lexicon's size.
 ENTRIES = 5_000
 #: Lengths of word beginnings that may be entries besides whole words.
 STEMS = range(3, 9)
@@ -41,15 +41,38 @@ _FOLD = (
     {ord(k): v for k, v in _HOMOGLYPHS.items()} | dict.fromkeys(range(0x300, 0x370)) | dict.fromkeys(_INVISIBLE)
 )
 _SUBSTITUTED = str.maketrans(_DIGITS)
+_SUBSTITUTED_L = str.maketrans(_DIGITS | {"1": "l", "!": "l"})
+#: Words with letters and substitutes, at the ends too.
+_SPELT = re.compile(r"(?<![\w@$!])(?=[0-9@$!]*[a-z])(?=[a-z]*[0-9@$!])[a-z0-9@$!]+(?!\w)")
+_PLAIN = re.compile(r"[a-z]+")
 _MIXED = re.compile(r"[a-z0-9@$!]*(?:[a-z][0-9@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0-9@$]+(?=[a-z]))[a-z0-9@$!]*")
 _OTHER = re.compile(r"[\W_]+")
 
 
-def fold(text: str | None) -> str:
-    """Lower-case words between single spaces: accents off, homoglyphs to Latin, digits inside words to letters."""
+def fold(text: str | None, known: Callable[[str], bool] | None = None) -> str:
+    """Lower-case words between single spaces: accents off, homoglyphs to Latin, digits inside words to letters.
+
+    Whether a digit or sign stands for a letter is open at the ends of a word (``idio7``, but also ``level7``), and a
+    ``1`` may be an i or an l. A spelling of which ``known`` accepts a reading is read so, first with i, then with l;
+    all others only have substitutes between letters replaced.
+    """
     text = (text or "").lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_FOLD)
+    if known is not None:
+
+        def read(m: re.Match) -> str:
+            # signs at the end are taken for punctuation first
+            bare = m[0].rstrip("!")
+            if _PLAIN.fullmatch(bare):
+                return m[0]
+            for word in dict.fromkeys((bare, m[0])):
+                for table in (_SUBSTITUTED, _SUBSTITUTED_L):
+                    if known(reading := word.translate(table)):
+                        return reading + m[0][len(word) :]
+            return m[0]
+
+        text = _SPELT.sub(read, text)
     text = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTED), text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
@@ -80,6 +103,20 @@ class Lexicon:
             self._cache["automaton"] = found
         return self._cache["automaton"]
 
+    def fold(self, text: str | None) -> str:
+        """``fold`` that knows the entries."""
+        return fold(text, self._is_entry)
+
+    def _is_entry(self, word: str) -> bool:
+        if f" {word} " in self.entries:
+            return True
+        return any(f" {word[:k]}" in self.entries for k in self._stem_lengths() if len(word) >= k)
+
+    def _stem_lengths(self) -> list[int]:
+        if "stems" not in self._cache:
+            self._cache["stems"] = sorted({len(e) - 1 for e in self.entries if not e.endswith(" ")})
+        return self._cache["stems"]
+
     def hits(self, folded: str) -> list[tuple[int, float]]:
         """Where words with an entry begin, with their best weight; words inside an exception phrase do not count."""
         best: dict[int, float] = {}
@@ -101,7 +138,7 @@ class Lexicon:
         return out
 
     def features(self, text: str | None) -> tuple[float, float]:
-        folded = fold(text)
+        folded = self.fold(text)
         total = sum(w for _, w in self.hits(folded)) if self.entries else 0.0
         words = max(folded.count(" ") - 1, 0)
         return math.log1p(total), math.log1p(100 * total / (words + LENGTH_PRIOR))
@@ -179,8 +216,14 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, trains: Column, rows_per_label: int = ROWS_PER_LABEL) -> Lexicon:
-    """Fit a lexicon on labelled documents for whose id ``trains`` holds.
+def learn_lexicon(
+    docs: DataFrame,
+    labels: DataFrame,
+    trains: Column,
+    rows_per_label: int = ROWS_PER_LABEL,
+    most_entries: int = ENTRIES,
+) -> Lexicon:
+    """Fit a lexicon of at most ``most_entries`` entries on labelled documents for whose id ``trains`` holds.
 
     At most ``rows_per_label`` rows of each label are used, by the hash of their id; that is the bound of the fit, and
     of the one broadcast. Rows of ``labels`` without an id or a label do not count, and an id labelled both ways is
@@ -226,14 +269,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, trains: Column, rows_per_l
         "evidence", evidence(F.col("toxic"), F.col("clean"))
     )
     best = weighed.where("toxic >= 3 and weight > 1.5 and evidence > 15").orderBy(F.desc("evidence"), "phrase")
-    entries = {r["phrase"]: float(r["weight"]) for r in best.limit(ENTRIES).collect()}
+    entries = {r["phrase"]: float(r["weight"]) for r in best.limit(most_entries).collect()}
     lexicon = Lexicon(entries, prior=prior)
     if not entries:
         return lexicon
     around = fit.mapInArrow(_counted(_phrases(lexicon)), ddl).groupBy("phrase")
     around = around.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     harmless = around.where((F.col("clean") >= 3) & (log_odds(F.col("toxic"), F.col("clean")) < 0))
-    exceptions = frozenset(r["phrase"] for r in harmless.orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect())
+    exceptions = frozenset(r["phrase"] for r in harmless.orderBy(F.desc("clean"), "phrase").limit(most_entries).collect())
     lexicon = Lexicon(entries, exceptions, prior=prior)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
