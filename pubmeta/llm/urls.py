@@ -10,14 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubmeta.llm.common import Scratch
+from pubmeta.llm.common import SMALL_ROWS, Scratch
 
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 50_000
 TREES = 12
 DEPTH = 4
-#: Suffixes with statistics of their own, at most; the others share one.
-SUFFIXES = 1_000
 
 FEATURES = (
     "length", "host_length", "path_length", "depth", "host_depth", "digit_ratio", "sign_ratio", "entropy",
@@ -88,7 +86,9 @@ class UrlModel:
     """Trees and the statistics of the suffixes; without trees every URL gets ``constant``."""
 
     trees: GBTClassificationModel | None
+    #: One row per suffix among the labelled URLs, and whether that is few enough rows to broadcast.
     suffixes: DataFrame | None
+    few: bool
     base_rate: float
     constant: str
 
@@ -96,24 +96,34 @@ class UrlModel:
         """Add ``predicted`` (allow or block) to URLs with lexical features."""
         if self.trees is None:
             return urls.withColumn("predicted", F.lit(self.constant))
-        known = urls.join(F.broadcast(self.suffixes), "suffix", "left")
-        known = known.withColumns(
-            {
-                "suffix_rate": F.coalesce("suffix_rate", F.lit(self.base_rate)),
-                "suffix_share": F.coalesce("suffix_share", F.lit(0.0)),
-            }
-        )
+        known = _with_suffix(urls, self.suffixes, self.few, self.base_rate)
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         scored = self.trees.transform(vector.transform(known))
         block = vector_to_array("probability")[1] >= 0.5
         return scored.withColumn("predicted", F.when(block, "block").otherwise("allow"))
 
 
+def hash_limit(wanted: int, rows: int) -> int:
+    """The 64-bit value that a share of ``wanted / rows`` of signed hashes does not exceed."""
+    return min((1 << 63) - 1, -(1 << 63) + (wanted << 64) // rows)
+
+
+def _with_suffix(urls: DataFrame, suffixes: DataFrame, few: bool, base_rate: float) -> DataFrame:
+    known = urls.join(F.broadcast(suffixes) if few else suffixes, "suffix", "left")
+    return known.withColumns(
+        {
+            "suffix_rate": F.coalesce("suffix_rate", F.lit(base_rate)),
+            "suffix_share": F.coalesce("suffix_share", F.lit(0.0)),
+        }
+    )
+
+
 def learn_urls(urls: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
     """Fit trees on distinct URLs with lexical features and ``verdict`` not null.
 
-    Suffix statistics (share of blocked ones, smoothed, and share of all) come from all labelled rows. The trees are
-    fitted on at most ``train_rows`` of them, by the hash of the URL; that is the documented bound of the sample.
+    Suffix statistics (share of blocked ones, smoothed, and share of all) come from all labelled rows, for every suffix.
+    The trees are fitted on about ``train_rows`` distinct URLs at most, those with the smallest hashes; that is the
+    documented bound of the sample, at any number of rows.
     """
     scratch = Scratch(urls.sparkSession, "urls")
     labelled = urls.where(F.col("verdict").isNotNull())
@@ -121,7 +131,7 @@ def learn_urls(urls: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
     totals = labelled.agg(F.count("*").alias("n"), F.sum(label).alias("blocked")).first()
     n, blocked = totals["n"], totals["blocked"] or 0.0
     if not 0 < blocked < n:
-        return UrlModel(None, None, 0.0, "block" if n and blocked == n else "allow")
+        return UrlModel(None, None, True, 0.0, "block" if n and blocked == n else "allow")
     rate = blocked / n
     suffixes = labelled.groupBy("suffix").agg(F.sum(label).alias("blocked"), F.count("*").alias("n"))
     suffixes = suffixes.select(
@@ -129,21 +139,17 @@ def learn_urls(urls: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
         ((F.col("blocked") + 10 * rate) / (F.col("n") + 10)).alias("suffix_rate"),
         (F.col("n") / n).alias("suffix_share"),
     )
-    suffixes = scratch.table(suffixes.orderBy(F.desc("suffix_share"), "suffix").limit(SUFFIXES), "suffixes")
-    # rows in the order of their hash, as far as the bound reaches
-    share = min(1.0, train_rows / n)
-    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    suffixes = scratch.table(suffixes, "suffixes")
+    few = suffixes.count() <= SMALL_ROWS
+    chosen = labelled.where(F.xxhash64("url") <= hash_limit(train_rows, n)).dropDuplicates(["url"])
     numeric = [c for c in FEATURES if not c.startswith("suffix")]
-    data = chosen.select(*numeric, "suffix", label.alias("label")).join(F.broadcast(suffixes), "suffix", "left")
-    data = data.withColumns(
-        {"suffix_rate": F.coalesce("suffix_rate", F.lit(rate)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))}
-    )
+    data = _with_suffix(chosen.select(*numeric, "suffix", label.alias("label")), suffixes, few, rate)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(data)
     data = scratch.table(data.select("features", "label").repartition(8), "train")
     if data.select("label").distinct().count() < 2:
-        return UrlModel(None, None, 0.0, "block" if rate >= 0.5 else "allow")
+        return UrlModel(None, None, True, 0.0, "block" if rate >= 0.5 else "allow")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=5, featureSubsetStrategy="all").fit(data)
-    return UrlModel(trees, suffixes, rate, "allow")
+    return UrlModel(trees, suffixes, few, rate, "allow")
 
 
 def judged_urls(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS) -> DataFrame:
