@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pubmeta.llm.common import Scratch
+from pubmeta.llm.common import Scratch, free_names
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -172,38 +172,47 @@ def _digest(text: Column) -> list[Column]:
     ]
 
 
+def _added(docs: DataFrame) -> list[str]:
+    """Names for shard, slot and old shard in the files, other than those of the documents' columns."""
+    return free_names(docs, "shard", "slot", "old_shard")
+
+
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, places: bool = False) -> list[int]:
     """Write the files of the shards that gain or lose rows under ``path/shard=N``; the others stay as they are.
 
     ``placed`` is what ``resharded`` made of ``docs`` and carries their rows, so null and repeated doc_ids are rows like
     any other. A shard is as many files as tasks hold rows of it, each a run of slots in order; ``places`` adds the
-    columns slot and old_shard to them. Columns of ``docs`` with the names of added ones are left out. A shard that has lost all its rows is removed. Returns the shards that changed.
+    columns slot and old_shard to them. Every column of ``docs`` is written: where one has the name of an added column,
+    the added one gets an underscore before it. A shard that has lost all its rows is removed. Returns the shards that
+    changed.
     """
     moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
     changed = sorted(r[0] for r in moved.collect())
-    own = ("shard", "slot", "old_shard") if places else ("shard",)
-    names = [c for c in docs.columns if c not in own]
+    shard, slot, old = _added(docs)
     rows = placed.where(F.col("shard").isin(changed)).sortWithinPartitions("shard", "slot")
-    rows = rows.select(*(F.col("row")[c].alias(c) for c in names), *(["slot", "old_shard"] if places else []), "shard")
-    rows.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    more = [F.col("slot").alias(slot), F.col("old_shard").alias(old)] if places else []
+    rows = rows.select(*(F.col("row")[c].alias(c) for c in docs.columns), *more, F.col("shard").alias(shard))
+    rows.write.partitionBy(shard).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     filled = {r[0] for r in placed.select("shard").distinct().collect()}
     for s in set(changed) - filled:
-        target = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        target = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={s}")
         target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
     return changed
 
 
 def resharded_files(docs: DataFrame, old_shard: Column, path: str, shards: int = 8) -> DataFrame:
-    """``resharded`` without the rows, after writing the affected shards to ``path``; theirs is read from the files."""
+    """``resharded`` without the rows, after writing the affected shards to ``path``; theirs is read from the files.
+
+    Only affected shards are written: in an empty folder those that kept all their rows have no files.
+    """
     placed = resharded(docs, old_shard, shards)
     changed = write_shards(docs, placed, path, places=True)
     names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     same = placed.where(~F.col("shard").isin(changed)).select(*names)
     if not changed:
         return same
-    kept = [f for f in docs.schema.fields if f.name not in ("shard", "slot", "old_shard")]
-    schema = StructType(kept).add("slot", "long").add("old_shard", "integer").add("shard", "integer")
+    shard, slot, old = _added(docs)
+    schema = StructType(docs.schema.fields).add(slot, "long").add(old, "integer").add(shard, "integer")
     files = docs.sparkSession.read.schema(schema).parquet(path)
-    return files.select("doc_id", *_digest(F.col("text")), "old_shard", "shard", "slot").select(
-        F.col("doc_id").cast("long").alias("doc_id"), *names[1:]
-    ).union(same)
+    added = [F.col(old).alias("old_shard"), F.col(shard).alias("shard"), F.col(slot).alias("slot")]
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), *_digest(F.col("text")), *added).union(same)
