@@ -32,6 +32,8 @@ BUCKET_KEYS = 1_000_000
 TOP_COUNT = 5
 #: N-grams of order two and up that occur less often are left to the lower order.
 LEAST_COUNT = 1
+#: Buckets of the block table; Spark takes no more than 100,000.
+MOST_BUCKETS = 50_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _ORDER = stream(16, 11) | np.uint64(1)
@@ -554,7 +556,8 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     # kept in hash buckets by block, so that the blocks stay where they are and only requests and answers move
-    base = scratch.bucketed(text.mapInArrow(_blocks, _BLOCK), "blocks", "block", max(1, text.rdd.getNumPartitions()))
+    places = min(max(1, text.rdd.getNumPartitions()), MOST_BUCKETS)
+    base = scratch.bucketed(text.mapInArrow(_blocks, _BLOCK), "blocks", "block", places)
     tokens = base.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(1, math.ceil(tokens / BUCKET_KEYS))
     possible = {n: 0 for n in range(1, order + 1)}
