@@ -515,6 +515,37 @@ def test_affected_shards_are_written_whole(spark, tmp_path):
     assert all(x and x == list(range(len(x))) for x in slots.values())
 
 
+def test_files_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"text {i}", f"shard {i}", i, f"old {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int, old_shard string")
+    got = shards.resharded_files(docs, F.lit(0), str(tmp_path / "s"), 4).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(40)) and {r["shard"] for r in got} == {0, 1, 2, 3}
+    files = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r["doc_id"], r["text"], r["shard"], r["slot"], r["old_shard"]) for r in files) == rows
+    assert {r["doc_id"]: r["_shard"] for r in files} == {r["doc_id"]: r["shard"] for r in got}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_move_as_few_bytes_as_the_flow(spark, seed):
+    """Bytes of moved rows equal those of the flow, up to a row at each border between transfers."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, "x" * int(rng.integers(0, 200)), int(rng.choice(4, p=[0.6, 0.2, 0.1, 0.1]))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    placed = shards.resharded(docs, F.col("at"), 4).collect()
+    old = [sum(len(t) + 1 for _, t, s in rows if s == k) for k in range(4)]
+    flow = shards.transfers(old, shards.even_capacities(sum(old), 4))
+    least = sum(flow[i][j] for i in range(4) for j in range(4) if i != j)
+    assert least == sum(max(0, o - c) for o, c in zip(old, shards.even_capacities(sum(old), 4), strict=True))
+    moved = Counter()
+    for r in placed:
+        moved[r["old_shard"], r["shard"]] += r["size"]
+    borders = sum(bool(x) for line in flow for x in line)
+    assert abs(sum(n for (a, b), n in moved.items() if a != b) - least) <= 201 * borders
+    for i in range(4):
+        for j in range(4):
+            assert abs(moved[i, j] - flow[i][j]) <= 2 * 201
+
+
 def test_resharding_of_awkward_rows(spark):
     docs = h.documents(spark)
     rows = shards.resharded(docs, F.col("doc_id") % 3, 3).collect()

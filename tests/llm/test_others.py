@@ -215,6 +215,54 @@ def test_no_conversations(spark):
     assert chat.preference_segments(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_hash_limits():
+    assert urls.hash_limit(50_000, 50_000) == urls.hash_limit(60_000, 50_000) == (1 << 63) - 1
+    for rows in (10**6, 10**11, 10**15):
+        share = (urls.hash_limit(50_000, rows) + (1 << 63)) / 2**64
+        assert abs(share * rows - 50_000) < 1
+
+
+def _rule_of(url, rules):
+    """Host, path and the longest rule of a URL, step by step."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    best = None
+    for rule, _ in rules:
+        name, begin = rule[: rule.index("/")], rule[rule.index("/") :]
+        fits = (host == name or host.endswith("." + name)) and path.startswith(begin)
+        if fits and (best is None or len(rule) > len(best)):
+            best = rule
+    return host, path, best
+
+
+def test_rules_of_all_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    rows = urls.judged_urls(pages, URL_RULES).collect()
+    given = {r["page_id"]: r["url"] for r in pages.collect()}
+    assert len(rows) == len(given)
+    said = dict(URL_RULES)
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"]) == _rule_of(given[r["page_id"]], URL_RULES)
+        assert r["verdict"] in ("allow", "block") and (r["rule"] is None or r["verdict"] == said[r["rule"]])
+
+
+def test_repeated_urls_and_ids(spark):
+    """A URL on very many rows is one URL for the trees, and all its rows get one verdict."""
+    rows = [(1, "http://spam.example.org/es/x?a=1")] * 300
+    rows += [(i, f"http://h{i}.org/{i}") for i in range(100)] + [(5, f"http://b{i}.com/de/{i}9") for i in range(100)]
+    rows += [(7, "http://free.net/q")] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judged_urls(pages, URL_RULES, train_rows=50).collect()
+    assert len(out) == len(rows)
+    assert {r["verdict"] for r in out if r["host"] == "spam.example.org"} == {"block"}
+    assert len({r["verdict"] for r in out if r["host"] == "free.net"}) == 1
+
+
 # toxicity
 
 
@@ -235,6 +283,64 @@ def test_folding(text, want):
     assert toxicity.fold(text) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("idio7", " idiot "),
+        ("worthle$$ thing", " worthless thing "),
+        ("!diot!", " idiot "),
+        ("c1own, 1oser", " clown loser "),
+        ("w0rth1e55", " worthless "),
+        ("idiot!! Trash!", " idiot trash "),
+        ("level7 and 7up, h4t", " level7 and tup hat "),
+        ("1oserville", " loserville "),
+        ("x" * 50 + "7", f" {'x' * 50}7 "),
+    ],
+)
+def test_readings_of_known_words(text, want):
+    entries = {" idiot ": 1.0, " worthless ": 1.0, " clown ": 1.0, " loser": 1.0, " trash ": 1.0}
+    assert toxicity.Lexicon(entries).fold(text) == want
+
+
+def test_hits_against_a_plain_search():
+    rng = np.random.default_rng(12)
+    words = ["trash", "can", "idiot", "idiots", "fool", "of", "day", "a", "tra"]
+    entries = {" trash ": 2.0, " idio": 1.5, " fool ": 1.0, " tra": 0.5, " a ": 0.1}
+    exceptions = frozenset({" trash can ", " a fool of ", " idiots day "})
+    lexicon = toxicity.Lexicon(entries, exceptions)
+    for _ in range(200):
+        folded = toxicity.fold(" ".join(rng.choice(words, int(rng.integers(0, 12)))))
+        spans = [(i, i + len(p) - 1) for p in exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+        want = {}
+        for entry, weight in entries.items():
+            for i in range(len(folded)):
+                if folded.startswith(entry, i) and not any(lo <= i < hi for lo, hi in spans):
+                    want[i] = max(want.get(i, weight), weight)
+        assert lexicon.hits(folded) == sorted(want.items())
+
+
+def test_hits_in_a_long_text_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({" trash ": 3.0}, frozenset({" trash can "}))
+    took = []
+    for n in (20_000, 80_000):
+        folded = toxicity.fold("trash trash can " * n)
+        start = time.perf_counter()
+        assert len(lexicon.hits(folded)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_entries_of_equal_evidence_come_in_one_order(spark):
+    """Ties go by the phrase, so the bound on entries gives the same lexicon for any order of rows."""
+    rows = [(i, "alpha beta gamma delta", 1) for i in range(60)] + [(100 + i, "fine words only", 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    found = [toxicity.learn_lexicon(docs.repartition(n), labels, F.lit(True), most_entries=3).entries for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
 def test_exceptions_and_length():
     lexicon = toxicity.Lexicon({" trash ": 3.0, " idio": 4.0}, frozenset({" trash can "}))
     assert lexicon.hits(toxicity.fold("the trash can")) == []
