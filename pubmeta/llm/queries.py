@@ -168,7 +168,48 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.norm) AS
 FROM d JOIN g ON d.norm = g.norm
 """
 
+#: All pairs of a label, and of texts that share a shingle; components by reachability.
+_REACHED = """
+reached(a, b) AS (SELECT n, n FROM {rows} UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+named AS (SELECT reached.a AS n, min({rows}.{id}) AS component_id FROM reached JOIN {rows} ON {rows}.n = reached.b GROUP BY reached.a)
+"""
+
+_OP5 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT n, hash(array_to_string(w[k:k + 3], ' ')) AS shingle
+  FROM d, generate_series(1, greatest(len(w) - 3, 1)) t(k) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT n, count(*) AS size FROM s GROUP BY n),
+shared AS MATERIALIZED (
+  SELECT x.n AS a, y.n AS b, count(*) AS n_both FROM s x JOIN s y ON x.shingle = y.shingle AND x.n <> y.n GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE 100 * n_both >= 80 * (x.size + y.size - n_both)),
+{_REACHED.format(rows='d', id='doc_id')}
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN named ON named.n = d.n LEFT JOIN sizes ON sizes.n = d.n
+"""
+
+_OP8 = rf"""
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS MATERIALIZED (
+  SELECT n, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT x.n AS a, y.n AS b FROM u x JOIN u y ON x.label = y.label AND x.n <> y.n AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.93),
+{_REACHED.format(rows='e', id='vec_id')},
+counted AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN named ON named.n = e.n LEFT JOIN counted ON counted.n = e.n
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_hyperminhash": _OP5,
+    "op8_spherical_caps": _OP8,
     "op1_preference_formatting": _OP1,
     "op9_counting_quotient_filters": _OP9,
     "op11_ptolemaic_clusters": clusters.oracle(),
