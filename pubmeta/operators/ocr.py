@@ -7,12 +7,16 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeta.functions.text import collapse_blank_lines, strip_ocr
 from pubmeta.schemas import EMPTY_MARKDOWN, EMPTY_PDF, INVALID_PDF
 
+# The batching travels with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Pages joined into one row of Markdown. Longer documents come in several parts,
 # so no row grows with the length of a document.
 PAGES_PER_PART = 1000

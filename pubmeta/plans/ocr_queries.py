@@ -122,13 +122,18 @@ def images(s: Source) -> DataFrame:
     )
 
 
-def load_model():
-    def model(inputs: list) -> dict:
-        if any("è" in text for text in inputs):
-            raise ValueError("unreadable batch")
-        return {"predictions": list(inputs), "repeats": []}
+def loader():
+    """A function that loads the model; local ones travel with the task."""
 
-    return model
+    def load():
+        def model(inputs: list) -> dict:
+            if any("è" in text for text in inputs):
+                raise ValueError("unreadable batch")
+            return {"predictions": list(inputs), "repeats": []}
+
+        return model
+
+    return load
 
 
 def inferred(df: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def inferred(df: DataFrame) -> DataFrame:
 
 @query("udf2_infer_pages", INFERRED)
 def _(s: Source) -> DataFrame:
-    return inferred(O.infer_pages(images(s), load_model()))
+    return inferred(O.infer_pages(images(s), loader()()))
 
 
 @query("udf2_infer_stored_pages", INFERRED)
@@ -145,4 +150,4 @@ def _(s: Source) -> DataFrame:
     """The same from a table laid out by document: no image is shuffled, the model is loaded once per worker."""
     pages = images(s).withColumn("batch", F.floor((F.col("page_number") - 1) / 2))
     table = write_keyed(pages, new_folder(s.spark, "images"), "doc_id", 4, "batch", sort=("page_number",)).table()
-    return inferred(O.infer_pages(table, load=load_model, name="marks", laid_out=True))
+    return inferred(O.infer_pages(table, load=loader(), name="marks", laid_out=True))
