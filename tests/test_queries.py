@@ -6,8 +6,6 @@ import __spark_entry__ as entry_point
 from compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-# Rows may be missing at this scale for queries that list rare cases.
-MAY_BE_EMPTY = {"no rows on either side"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +16,7 @@ def db():
 @pytest.mark.parametrize("name", sorted(entry_point.queries()))
 def test_matches_sql(spark, db, name):
     problem = compare(spark, FOLDER, name, db)
-    assert problem is None or problem in MAY_BE_EMPTY, problem
+    assert problem is None, problem
 
 
 def test_entry_gives_rows(spark):
