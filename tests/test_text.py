@@ -152,3 +152,9 @@ def test_first_year(value):
     assert value(fn, "[[2024,5],[1]]") == 2024
     for none in ("[[0]]", "[[null]]", "[[]]", "[]", None):
         assert value(fn, none) is None
+
+
+def test_a_sharp_s_is_not_two_letters(value):
+    words = ["ß", "SS", "ss", "Straße", "STRASSE", "straẞe", "ﬁn", "FIN", "𐐨ß", "𐐀ß", "é", "É"]
+    first = ["ß", "SS", "Straße", "STRASSE", "ﬁn", "FIN", "𐐨ß", "é"]
+    assert value(C.distinct_ignore_case, words, ddl="ARRAY<STRING>") == first
