@@ -8,8 +8,10 @@ threshold and shuffles otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,13 @@ from pubmeta.schemas import (
     USER_ID_REQUIRED,
     USER_NOT_FOUND,
 )
-from pubmeta.sources.workspace import stored
+from pubmeta.sources.workspace import new_folder, stored
 
 ADMIN = "ADMIN"
 ADMIN_CLAIM = "ROLE_ADMIN"
 _STRINGS = "array<string>"
+#: Open role updates that one task goes through one after another.
+WALKED_AT_ONCE = 100_000
 
 
 # --- reads ------------------------------------------------------------------
@@ -359,10 +363,11 @@ def update_roles(
       gets the name; requests before that one which lack a permission fail for that;
     - the name is the role's own, and the role asks for no other before the request: nothing to rename.
 
-    The earliest open request is always among them. All requests for a name in use fall in one round, so rounds are as
-    many as names change hands one after another, not as there are requests. Each round reads stored tables, combines
-    on the map side, and joins per-name and per-role facts by ``lookup_facts``, so that neither a name nor a role with
-    most of the requests is one task.
+    All requests for a name in use fall in one round, but names that change hands one after another take a round
+    each. So rounds go on only while more than WALKED_AT_ONCE requests are open and each round settles a quarter of
+    them; the rest is walked through in order, in blocks of that size (``_walk``). Each round reads stored tables,
+    combines on the map side, and joins per-name and per-role facts by ``lookup_facts``, so that neither a name nor a
+    role with most of the requests is one task.
     """
     given = normalize_role_name(F.col("name"))
     asked = requests.withColumn("_at", F.col(order)).withColumn("target", given)
@@ -374,13 +379,15 @@ def update_roles(
     asked = stored(asked.drop("_role").withColumn("_known", F.coalesce("_known", F.lit(False))), "role-requests")
     open_ = asked.where("_known").select("_at", "id", "target", F.col("missing").isNull().alias("ok"))
     settled: list[DataFrame] = []
-    while not open_.isEmpty():
+    left, before = open_.count(), None
+    while left > WALKED_AT_ONCE and (before is None or before - left >= before // 4):
         now, open_ = _settle(open_, names)
         settled = [*settled, now] if len(settled) < 30 else [stored(reduce(DataFrame.unionByName, settled), "role-settled"), now]
-        renamed = now.where("renamed").select("id", F.col("target").alias("_new"))
-        names = names.join(renamed, "id", "left").select("id", F.coalesce("_new", "name").alias("name"))
-        names = stored(names, "role-names")
-    none = open_.select("_at", "id", "target", F.lit(False).alias("in_use"), F.lit(False).alias("renamed"))
+        names = _renamed(names, now)
+        before, left = left, open_.count()
+    if left:
+        settled.append(_walk(open_, names, -(-left // WALKED_AT_ONCE)))
+    none = open_.limit(0).select("_at", "id", "target", F.lit(False).alias("in_use"), F.lit(False).alias("renamed"))
     taken = reduce(DataFrame.unionByName, settled, none)
     verdicts = taken.select(F.col("_at").alias("_verdict_at"), "in_use", "renamed")
     checked = asked.join(verdicts, F.col("_at") == F.col("_verdict_at"), "left")
@@ -390,22 +397,11 @@ def update_roles(
         .when(F.col("missing").isNotNull(), F.concat(F.lit(PERMISSION_NOT_FOUND), F.col("missing")))
     )
     checked = checked.withColumn("error", error)
-    # the name a role has after a request: of its renamings up to then the last, else the one it began with
-    begun = first_names.select(F.col("id").alias("_role"), F.lit(None).cast(asked.schema["_at"].dataType).alias("_from"), F.col("name").alias("_had"))
-    later = taken.where("renamed").select(F.col("id").alias("_role"), F.col("_at").alias("_from"), F.col("target").alias("_had"))
-    spans = begun.unionByName(later).withColumn(
-        "_until", F.lead("_from").over(Window.partitionBy("_role").orderBy(F.col("_from").asc_nulls_first()))
-    )
-    held = (
-        (F.col("id") == F.col("_role"))
-        & (F.col("_from").isNull() | (F.col("_from") <= F.col("_at")))
-        & (F.col("_until").isNull() | (F.col("_at") < F.col("_until")))
-    )
-    named = checked.join(stored(spans, "role-spans"), held, "left")
+    named = _names_after(checked.withColumn("_given", F.when(F.col("renamed"), F.col("target"))), first_names)
     keys = ["id"] if order == "id" else [order, "id"]
     return named.select(
         *keys,
-        F.col("_had").alias("name"),
+        F.col("_name").alias("name"),
         "description",
         "permissions",
         F.col("permissions").isNotNull().alias("replaces_permissions"),
@@ -445,6 +441,83 @@ def _settle(open_: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("done").select("_at", "id", "target", "in_use", "renamed"), rows.where("NOT done").select(*open_.columns)
 
 
+def _renamed(names: DataFrame, now: DataFrame) -> DataFrame:
+    """Names of roles after settled requests: of the renamings of a role the last one."""
+    new = now.where("renamed").groupBy("id").agg(F.max_by("target", "_at").alias("_new"))
+    return stored(names.join(new, "id", "left").select("id", F.coalesce("_new", "name").alias("name")), "role-names")
+
+
+def _walk(open_: DataFrame, names: DataFrame, blocks: int) -> DataFrame:
+    """Open requests one after another: ``(_at, id, target, in_use, renamed)``.
+
+    What a request finds depends on the one before, so blocks of requests follow each other in time. A block is one
+    task, and knows the names of its own roles and how many roles have a name that it asks for, no others.
+    """
+    spark, path = open_.sparkSession, new_folder(open_.sparkSession, "role-blocks")
+    dealt = open_.repartitionByRange(blocks, "_at").withColumn("_block", F.spark_partition_id())
+    dealt.write.partitionBy("_block").parquet(path)
+    table = spark.read.schema(dealt.schema).parquet(path)
+    asking, wanted = open_.select("id").distinct(), open_.select(F.col("target").alias("name")).distinct()
+    concerned = names.join(asking, "id", "left_semi").unionByName(
+        names.join(asking, "id", "left_anti").join(wanted, "name", "left_semi").select(*names.columns)
+    )
+    names = stored(concerned, "role-names")
+    fields = [f for f in open_.schema if f.name in ("_at", "id", "target")]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", in_use BOOLEAN, renamed BOOLEAN"
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict = {}  # roles renamed in this block
+        more: dict = {}  # how many more roles have a name than when the block began
+        for batch in batches:
+            in_use, renamed = [], []
+            columns = [batch.column(c).to_pylist() for c in ("id", "target", "ok", "own", "held")]
+            for role, target, ok, name, held in zip(*columns):
+                name = own.get(role, name)
+                asks = target is not None and target != name
+                taken = asks and held + more.get(target, 0) > 0
+                wins = asks and ok and not taken
+                if wins:
+                    own[role] = target
+                    more[target] = more.get(target, 0) + 1
+                    more[name] = more.get(name, 0) - 1
+                in_use.append(taken)
+                renamed.append(wins)
+            kept = [batch.column(f.name) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(in_use, pa.bool_()), pa.array(renamed, pa.bool_())], names=[*(f.name for f in fields), "in_use", "renamed"])
+
+    walked = []
+    for k in range(blocks):
+        block = table.where(F.col("_block") == k)
+        holders = names.groupBy(F.col("name").alias("target")).agg(F.count(F.lit(1)).alias("held"))
+        rows = block.join(names.select("id", F.col("name").alias("own")), "id").join(holders, "target", "left")
+        rows = rows.select(*(f.name for f in fields), "ok", "own", F.coalesce("held", F.lit(0)).alias("held"))
+        now = stored(rows.repartition(1).sortWithinPartitions("_at").mapInArrow(one_by_one, ddl), "role-walked")
+        walked.append(now)
+        if k + 1 < blocks:
+            names = _renamed(names, now)
+        if len(walked) == 30:
+            walked = [stored(reduce(DataFrame.unionByName, walked), "role-walked")]
+    return reduce(DataFrame.unionByName, walked)
+
+
+def _names_after(requests: DataFrame, first_names: DataFrame) -> DataFrame:
+    """``requests`` with ``_name``, the one that the role has after each: the last ``_given`` up to then, else its first.
+
+    Rows are dealt by role and time; a part takes the last name that earlier parts gave to its roles, so that a role
+    with most of the requests is many parts.
+    """
+    dealt = requests.repartitionByRange("id", "_at").withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt, "role-dealt")
+    last = F.max_by("_given", F.when(F.col("_given").isNotNull(), F.col("_at")))
+    parts = dealt.groupBy("id", "_part").agg(last.alias("_last"))
+    earlier = Window.partitionBy("id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("id", "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_brought"))
+    begun = first_names.select("id", F.col("name").alias("_begun"))
+    rows = dealt.join(parts.join(begun, "id", "left"), ["id", "_part"], "left")
+    up_to = Window.partitionBy("id", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_name", F.coalesce(F.last("_given", ignorenulls=True).over(up_to), "_brought", "_begun"))
+
+
 def updated_role_edges(role_permissions: DataFrame, updates: DataFrame, permissions: DataFrame) -> DataFrame:
     """Role-permission edges after the error-free updates that carry a permission list; a role's last one counts.
 

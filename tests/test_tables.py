@@ -371,6 +371,29 @@ def test_a_name_that_all_ask_for_takes_few_rounds(spark, monkeypatch):
     assert sorted(r["id"] for r in got if r["error"] is None) == [0] and len(rounds) <= 2
 
 
+@pytest.mark.parametrize("at_once", [200, 11_000])
+def test_names_that_change_hands_thousands_of_times_take_few_rounds(spark, monkeypatch, at_once):
+    from pubmeta.operators import access
+
+    rounds = []
+    settle = access._settle
+    monkeypatch.setattr(access, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    monkeypatch.setattr(access, "WALKED_AT_ONCE", at_once, raising=False)
+    rng = random.Random(7)
+    roles = [(i, f"N{i % 5}") for i in range(6)]  # two of one name
+    n = 900 if at_once == 200 else 10_000
+    requests = [(k, rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 9]), rng.choice(["n0", "n1", "x", "y", "z z", " "]), None, rng.choice([None, ["q"]])) for k in range(n)]
+    ddl = "request_id LONG, id LONG, name STRING, description STRING, permissions ARRAY<STRING>"
+    got = access.update_roles(
+        spark.createDataFrame(requests, ddl).repartition(3),
+        spark.createDataFrame(roles, "id LONG, name STRING"),
+        spark.createDataFrame([(1, "p")], "id LONG, name STRING"),
+        "request_id",
+    ).collect()
+    assert len(got) == n and len(rounds) <= 4
+    assert {r["request_id"]: (r["id"], r["name"], r["error"]) for r in got} == _one_by_one(requests, roles, {"p"})
+
+
 @pytest.mark.parametrize("low", [1, -40_000, 32_760, 1 << 40])
 def test_permission_bitmaps(spark, low):
     """Bits of ids on both sides of a bitmap's border, against plain sets."""
