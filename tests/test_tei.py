@@ -149,3 +149,33 @@ def test_explode_references_keeps_papers_without_any(spark):
     )
     rows = explode_references(extract_metadata(docs)).orderBy("doc_id", "position").collect()
     assert [(r["doc_id"], r["position"], r["title"]) for r in rows] == [(1, None, None), (2, 0, "a"), (2, 1, "b")]
+
+
+def test_wanted_columns_are_those_of_the_whole_record(spark, extract):
+    import os
+    import re
+
+    from pubmeta.operators import tei
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with open(f"{root}/FIXTURES.md", encoding="utf8") as f:
+        documents = [*re.findall(r"```xml\n(.*?)```", f.read(), re.S), "<a><b>", None]
+    whole = extract(*documents)
+    docs = spark.createDataFrame(list(enumerate(documents)), "doc_id BIGINT, xml STRING")
+    for wanted in (("title", "venue"), ("doi_source", "pages"), ("authors", "journal_source"), ("references",), ()):
+        rows = extract_metadata(docs, wanted=wanted).orderBy("doc_id").collect()
+        kept = ("doc_id", *wanted, "extraction_status", "extraction_error")
+        assert [r.asDict(recursive=True) for r in rows] == [{c: r[c] for c in r if c in kept} for r in whole]
+    raw = tei.tei_parse(docs, fields=tei.READS["title"]).schema["raw"].dataType
+    assert raw.names == ["err", "analytic_titles", "titlestmt_titles"]
+
+
+def test_documents_are_built_after_the_shuffles(spark):
+    from pubmeta.plans.base import Source
+    from pubmeta.plans.tei_queries import tei_docs
+
+    docs = tei_docs(Source(spark, "/root/testdata/sf0.001"))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    built = max(k for k, line in enumerate(lines) if "<TEI xmlns" in line)
+    assert built < min(k for k, line in enumerate(lines) if "Exchange" in line)
