@@ -53,11 +53,17 @@ class RankedTable:
         return rows.orderBy(self.key).offset(start - before[first]).limit(take) if wanted else rows.limit(0)
 
     def _number(self, ranges: list[tuple]) -> Column:
-        """The range of a key: as many lower ends as it has reached."""
+        """The range of a key: as many lower ends as it has reached, found by halving."""
+        if len(ranges) == 1:
+            return F.lit(ranges[0][0])
         lows = F.array(*[F.lit(low) for _, low, _ in ranges[1:]])
-        numbers = F.array(*[F.lit(r) for r, _, _ in ranges])
-        at = F.size(F.filter(lows, lambda low: low <= F.col(self.key))) if len(ranges) > 1 else F.lit(0)
-        return F.get(numbers, at)
+        numbers = F.split(F.lit(",".join(str(r) for r, _, _ in ranges)), ",").cast("array<int>")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range((len(ranges) - 1).bit_length()))])
+
+        def reach(at: Column, step: Column) -> Column:
+            return at + F.when(F.get(lows, at + step - 1) <= F.col(self.key), step).otherwise(0)
+
+        return F.get(numbers, F.aggregate(steps, F.lit(0), reach))
 
     def upsert(self, changes: DataFrame) -> list[int]:
         """Replace or add rows by key (at most one change per key); returns the ranges rewritten and counted again.
@@ -70,13 +76,14 @@ class RankedTable:
         if not ranges:
             write_ranked(changes, self.path, self.key, self.rows_per_range)
             return [r[0] for r in self.ranges()]
-        touched = sorted(r["n"] for r in changes.select(self._number(ranges).alias("n")).distinct().collect())
+        changes = stored(changes.withColumn(RANGE, self._number(ranges)), "ranked-changes")
+        touched = sorted(r[RANGE] for r in changes.select(RANGE).distinct().collect())
         if not touched:
             return touched
-        old = self.spark.read.parquet(f"{self.path}/rows").where(F.col(RANGE).isin(touched)).drop(RANGE)
+        # rows that stay are in their range already
+        old = self.spark.read.parquet(f"{self.path}/rows").where(F.col(RANGE).isin(touched))
         kept = old.join(changes.select(self.key), self.key, "left_anti")
-        new = kept.unionByName(changes, allowMissingColumns=True).select(*old.columns)
-        new = stored(new.withColumn(RANGE, self._number(ranges)), "ranked-rows")
+        new = stored(kept.unionByName(changes, allowMissingColumns=True).select(*old.columns), "ranked-rows")
         counts = {r[RANGE]: r["n"] for r in new.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).collect()}
         lows = {r: low for r, low, _ in ranges}
         result = {r: (low, n) for r, low, n in ranges if r not in touched}
@@ -84,7 +91,8 @@ class RankedTable:
         for r in touched:
             n = counts.get(r, 0)
             result[r] = (lows[r], n)
-            parts = min(n // self.rows_per_range, MOST_RANGES - len(result))
+            # ranges still to come count as well: at MOST_RANGES none is split
+            parts = min(n // self.rows_per_range, 1 + MOST_RANGES - len(ranges) - (fresh - max(lows) - 1))
             if parts < 2:
                 continue
             shares = [k / parts for k in range(1, parts)]
@@ -101,7 +109,9 @@ class RankedTable:
             counted = new.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).collect()
             for r in counted:
                 result[r[RANGE]] = (result[r[RANGE]][0], r["n"])
-        writer = new.repartition(RANGE).sortWithinPartitions(RANGE, self.key).write.mode("overwrite")
+        # a stated number, else small rows are merged into one task that writes the files of all ranges
+        tasks = min(len(result), 3 * self.spark.sparkContext.defaultParallelism)
+        writer = new.repartition(tasks, RANGE).sortWithinPartitions(RANGE, self.key).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(f"{self.path}/rows")
         _write_index(self.spark, self.path, new.schema[self.key], [(r, low, n) for r, (low, n) in result.items()])
         return touched

@@ -61,6 +61,18 @@ def test_pages_after_changes(spark, tmp_path):
     assert reopened.upsert(spark.createDataFrame([(None, "x")], "k BIGINT, v STRING")) == []
 
 
+def test_changes_to_all_ranges_keep_to_the_most_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranked, "MOST_RANGES", 6)
+    keys = spark.range(300).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    table = write_ranked(keys, str(tmp_path), "k", rows_per_range=10)
+    assert len(table.ranges()) == 6
+    table.upsert(keys.where("k % 10 = 3").withColumn("v", F.lit("new")))
+    found = table.ranges()
+    assert len(found) == 6 and sum(r[2] for r in found) == 300
+    want = [(k, "new" if k % 10 == 3 else "old") for k in range(300)]
+    assert [tuple(r) for r in table.page(11, 20).select("k", "v").collect()] == want[220:240]
+
+
 def test_an_empty_ranked_table(spark, tmp_path):
     table = write_ranked(spark.createDataFrame([], "k STRING, v STRING"), str(tmp_path), "k")
     assert table.ranges() == []
