@@ -217,8 +217,9 @@ AUTHOR_ROWS = f"""
 
 
 def author_rows(s: Source, *columns: str) -> DataFrame:
-    rows = header(s, ("authors",), F.posexplode("authors").alias("position", "author"))
-    return rows.select("doc_id", "position", *[f"author.{c}" for c in columns])
+    # an inner explode would be given a filter on the size of the list, which works the list out a second time
+    rows = header(s, ("authors",), F.posexplode_outer("authors").alias("position", "author"))
+    return rows.where("position IS NOT NULL").select("doc_id", "position", *[f"author.{c}" for c in columns])
 
 
 def pick(columns: str) -> str:

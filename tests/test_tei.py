@@ -179,3 +179,12 @@ def test_documents_are_built_after_the_shuffles(spark):
     lines = plan.splitlines()
     built = max(k for k, line in enumerate(lines) if "<TEI xmlns" in line)
     assert built < min(k for k, line in enumerate(lines) if "Exchange" in line)
+
+
+@pytest.mark.parametrize("name", ["tei13_authors", "tei14_person", "tei15_format_affiliation", "tei16_affiliation_fallback"])
+def test_authors_are_worked_out_once(spark, name):
+    from pubmeta.plans.base import Source
+    from pubmeta.plans.catalog import catalog
+
+    plan = catalog()[name].build(Source(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("raw#" in line and ".authors" in line for line in plan.splitlines()) == 1
