@@ -177,21 +177,31 @@ def pages(scopes: Column) -> Column:
     return format_pages(_text_where(scopes, "unit", "page", "pp"), ranged["first"], ranged["last"])
 
 
-def reference(ref: Column) -> Column:
-    return F.struct(
-        F.coalesce(
+#: What each column of a cited work reads of a parsed reference, and its rule.
+REFERENCE_RULES = {
+    "title": (
+        ("analytic_titles", "text"),
+        lambda ref: F.coalesce(
             _text_where(ref["analytic_titles"], "level", "a"), _at(ref["analytic_titles"])["text"], ref["text"]
-        ).alias("title"),
-        parse_authors(ref["authors"]).alias("authors"),
-        F.coalesce(_text_where(ref["monogr_titles"], "level", "j"), _at(ref["monogr_titles"])["text"]).alias("journal"),
-        _at(ref["publishers"]).alias("publisher"),
-        year(ref["dates"]).alias("publication_year"),
-        _text_where(ref["scopes"], "unit", "volume").alias("volume"),
-        _text_where(ref["scopes"], "unit", "issue").alias("issue"),
-        pages(ref["scopes"]).alias("pages"),
-        ref["text"].alias("raw_text"),
-        normalize_doi(_text_where(ref["idnos"], "type", "doi")).alias("doi"),
-    )
+        ),
+    ),
+    "authors": (("authors",), lambda ref: parse_authors(ref["authors"])),
+    "journal": (
+        ("monogr_titles",),
+        lambda ref: F.coalesce(_text_where(ref["monogr_titles"], "level", "j"), _at(ref["monogr_titles"])["text"]),
+    ),
+    "publisher": (("publishers",), lambda ref: _at(ref["publishers"])),
+    "publication_year": (("dates",), lambda ref: year(ref["dates"])),
+    "volume": (("scopes",), lambda ref: _text_where(ref["scopes"], "unit", "volume")),
+    "issue": (("scopes",), lambda ref: _text_where(ref["scopes"], "unit", "issue")),
+    "pages": (("scopes",), lambda ref: pages(ref["scopes"])),
+    "raw_text": (("text",), lambda ref: ref["text"]),
+    "doi": (("idnos",), lambda ref: normalize_doi(_text_where(ref["idnos"], "type", "doi"))),
+}
+
+
+def reference(ref: Column) -> Column:
+    return F.struct(*[rule(ref).alias(name) for name, (_, rule) in REFERENCE_RULES.items()])
 
 
 # --- the job ----------------------------------------------------------------
@@ -301,3 +311,18 @@ def explode_references(metadata: DataFrame, id_column: str = "doc_id") -> DataFr
     return metadata.select(id_column, F.posexplode_outer("references").alias("position", "reference")).select(
         id_column, "position", "reference.*"
     )
+
+
+def cited_works(docs: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
+    """``explode_references`` of the records of ``docs``, with the columns ``wanted`` of a cited work.
+
+    The parsed references become rows before the rules are applied, so only the
+    wanted columns are read and worked out, each once per reference.
+    """
+    names = [n for n in REFERENCE_RULES if wanted is None or n in wanted]
+    reads = {raw for n in names for raw in REFERENCE_RULES[n][0]}
+    parsed = tei_parse(docs, fields=("refs",), reference_fields=reads)
+    rows = parsed.select("doc_id", F.posexplode_outer("raw.refs").alias("position", "ref"))
+    ref, types = F.col("ref"), struct_type(METADATA_FIELDS_DDL)["references"].dataType.elementType
+    columns = [REFERENCE_RULES[n][1](ref).cast(types[n].dataType) for n in names]
+    return rows.select("doc_id", "position", *[F.when(ref.isNotNull(), c).alias(n) for n, c in zip(names, columns)])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubmeta.operators.tei import explode_references, extract_metadata
+from pubmeta.operators.tei import cited_works, extract_metadata
 from pubmeta.operators.tei_parse import tei_parse
 from pubmeta.plans.base import Source, query
 from pubmeta.sources.readers import read_tei
@@ -266,20 +266,10 @@ CITED = f"""
 
 @query("tei18_references", CITED)
 def _(s: Source) -> DataFrame:
-    rows = extract_metadata(tei_docs(s), wanted=("references",)).select("doc_id", F.posexplode("references").alias("position", "r"))
-    return rows.select(
-        "doc_id",
-        "position",
-        "r.title",
-        F.get("r.authors", F.lit(0))["full_name"].alias("author"),
-        "r.journal",
-        "r.publisher",
-        "r.publication_year",
-        "r.volume",
-        "r.pages",
-        "r.doi",
-        "r.raw_text",
-    )
+    names = ("title", "authors", "journal", "publisher", "publication_year", "volume", "pages", "doi", "raw_text")
+    rows = cited_works(tei_docs(s), names).where("position IS NOT NULL")
+    author = F.get("authors", F.lit(0))["full_name"].alias("author")
+    return rows.select("doc_id", "position", *[author if n == "authors" else n for n in names])
 
 
 @query(
@@ -287,7 +277,7 @@ def _(s: Source) -> DataFrame:
     f"""SELECT o_orderkey AS doc_id, position, title, doi FROM orders LEFT JOIN ({CITED}) ON doc_id = o_orderkey""",
 )
 def _(s: Source) -> DataFrame:
-    return explode_references(extract_metadata(tei_docs(s), wanted=("references",))).select("doc_id", "position", "title", "doi")
+    return cited_works(tei_docs(s), ("title", "doi"))
 
 
 @query(

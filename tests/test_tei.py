@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from pubmeta.operators.tei import explode_references, extract_metadata
+from pubmeta.operators.tei import cited_works, explode_references, extract_metadata
 
 NS = 'xmlns="http://www.tei-c.org/ns/1.0"'
 
@@ -188,3 +188,56 @@ def test_authors_are_worked_out_once(spark, name):
 
     plan = catalog()[name].build(Source(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert sum("raw#" in line and ".authors" in line for line in plan.splitlines()) == 1
+
+
+ODD = [
+    f"<TEI {NS}>a<!-- b -->c<?p d?>e<![CDATA[f < g]]>&amp;\r\n\u00a0h<x>i</x>j</TEI>",
+    f"<?xml version='1.0' encoding='latin1'?><TEI {NS}>\u00e9<y/></TEI>",
+    f"<!DOCTYPE TEI [<!ENTITY e 'f <z>g</z>'>]><TEI {NS}>&e;</TEI>",
+    "<TEI>&e;</TEI>",
+    "<a:b>x</a:b>",
+    "<a x='1' x='2'/>",
+    "<a>&#1;</a>",
+    "<a/> junk",
+    "<a><b></a>",
+    "<a> \n </a>",
+    "<a>" + "word " * 5000 + "</a>",
+]
+
+
+@pytest.mark.parametrize("xml", ODD)
+def test_text_without_a_tree_is_that_of_the_tree(xml, monkeypatch):
+    from pubmeta.operators import tei_parse
+
+    with_tree = tei_parse.parse_document(xml, ("all_text", "authors"))
+    built = []
+    tree = tei_parse.ET.fromstring
+    monkeypatch.setattr(tei_parse.ET, "fromstring", lambda x: built.append(x) or tree(x))
+    found = tei_parse.parse_document(xml, ("all_text",))
+    assert found == {k: v for k, v in with_tree.items() if k != "authors"}
+    assert tei_parse.parse_document(xml, ()) == {k: v for k, v in with_tree.items() if k == "err"}
+    assert bool(built) == ("err" in with_tree or "DOCTYPE" in xml)
+
+
+def test_cited_works_are_the_exploded_references(spark):
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with open(f"{root}/FIXTURES.md", encoding="utf8") as f:
+        published = re.findall(r"```xml\n(.*?)```", f.read(), re.S)
+    author = f"<analytic>{person('A', aff('One'))}{person('B')}</analytic>"
+    listed = f"<listBibl><biblStruct>{author}</biblStruct><biblStruct>b<note/> c</biblStruct><biblStruct/></listBibl>"
+    documents = [*published, header(), header(rest=listed), "<a><b>", None]
+    docs = spark.createDataFrame(list(enumerate(documents)), "doc_id BIGINT, xml STRING")
+    whole = explode_references(extract_metadata(docs))
+    assert cited_works(docs).schema.simpleString() == whole.schema.simpleString()
+    for wanted in (None, ("title", "doi"), ("authors", "raw_text")):
+        names = ["doc_id", "position", *[n for n in whole.columns[2:] if wanted is None or n in wanted]]
+        got = cited_works(docs, wanted).orderBy("doc_id", "position").collect()
+        assert got == whole.select(names).orderBy("doc_id", "position").collect()
+
+
+def test_a_cited_work_lists_only_what_is_read(spark):
+    docs = spark.createDataFrame([(1, header())], "doc_id BIGINT, xml STRING")
+    plan = cited_works(docs, ("title", "doi"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "idnos" in plan and "scopes" not in plan and "forenames" not in plan
