@@ -241,3 +241,42 @@ def test_a_cited_work_lists_only_what_is_read(spark):
     docs = spark.createDataFrame([(1, header())], "doc_id BIGINT, xml STRING")
     plan = cited_works(docs, ("title", "doi"))._jdf.queryExecution().optimizedPlan().toString()
     assert "idnos" in plan and "scopes" not in plan and "forenames" not in plan
+
+
+PROFILE = "<profileDesc><abstract><p>A &amp; b</p></abstract><textClass><keywords><term>c, d</term></keywords></textClass></profileDesc>"
+BODY = "<text>" + "<p>word</p>" * 100 + "</text>"
+HELD = [
+    # document, whether what is read is plain to see
+    (f"<TEI {NS}>{PROFILE}{BODY}</TEI>", True),
+    (f"<?xml version='1.0'?>\n<TEI {NS} a='&lt;'><teiHeader>{PROFILE}</teiHeader>{BODY}? !</TEI>\n", True),
+    (f"<TEI {NS}>{BODY}</TEI>", True),
+    (f"<TEI>{PROFILE}{BODY}</TEI>", True),
+    (f"<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'>{PROFILE.replace('</', '</t:').replace('<p', '<t:p')}{BODY}</t:TEI>", False),
+    (f"<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'><t:profileDesc><t:abstract>x</t:abstract></t:profileDesc>{BODY}</t:TEI>", False),
+    (f"<TEI {NS}>{PROFILE}{BODY}{PROFILE}</TEI>", False),
+    (f"<TEI {NS}><profileDesc/><textClass/>{BODY}</TEI>", False),
+    (f"<TEI {NS}><!-- {PROFILE} -->{BODY}</TEI>", False),
+    (f"<TEI {NS}><![CDATA[{PROFILE}]]>{BODY}</TEI>", False),
+    (f"<TEI {NS}><?x {PROFILE}?>{BODY}</TEI>", False),
+    (f"<TEI><teiHeader {NS}>{PROFILE}</teiHeader>{BODY}</TEI>", False),
+    (f"<profileDesc {NS}><abstract>root</abstract><textClass><keywords><term>r</term></keywords></textClass>{BODY}</profileDesc>", False),
+    (f"<TEI {NS} a='x>y'>{PROFILE}{BODY}</TEI>", True),
+    (f"<TEI {NS}>{PROFILE}{BODY}</TEI> junk", True),
+    (f"<TEI {NS}>{PROFILE}{BODY}<p></TEI>", True),
+    (f"<TEI {NS}>{PROFILE}{BODY}&no;</TEI>", True),
+    (f"<TEI {NS}>{PROFILE}<x:p/>{BODY}</TEI>", True),
+    (f"<TEI {NS}>{PROFILE}</TEI>", False),
+]
+
+
+@pytest.mark.parametrize("field", ["abstracts"])
+def test_a_field_is_read_from_its_holder_as_from_the_whole_tree(field, monkeypatch):
+    from pubmeta.operators import tei_parse
+
+    found = [tei_parse.parse_document(xml, (field,)) for xml, _ in HELD]
+    for xml, plain in HELD:
+        part = tei_parse._holders_only(xml, (field,))
+        assert (part is not None) == plain and (part is None or 2 * len(part) < len(xml))
+    monkeypatch.setattr(tei_parse, "_holders_only", lambda xml, fields: None)
+    assert found == [tei_parse.parse_document(xml, (field,)) for xml, _ in HELD]
+    assert found[0][field] and not found[2][field] and all("err" in x for x in found[-5:-1])
