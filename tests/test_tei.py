@@ -252,14 +252,14 @@ HELD = [
     (f"<TEI {NS}>{BODY}</TEI>", True),
     (f"<TEI>{PROFILE}{BODY}</TEI>", True),
     (f"<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'>{PROFILE.replace('</', '</t:').replace('<p', '<t:p')}{BODY}</t:TEI>", False),
-    (f"<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'><t:profileDesc><t:abstract>x</t:abstract></t:profileDesc>{BODY}</t:TEI>", False),
+    (f"<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'><t:profileDesc><t:abstract>x</t:abstract><t:textClass/></t:profileDesc>{BODY}</t:TEI>", False),
     (f"<TEI {NS}>{PROFILE}{BODY}{PROFILE}</TEI>", False),
     (f"<TEI {NS}><profileDesc/><textClass/>{BODY}</TEI>", False),
     (f"<TEI {NS}><!-- {PROFILE} -->{BODY}</TEI>", False),
     (f"<TEI {NS}><![CDATA[{PROFILE}]]>{BODY}</TEI>", False),
     (f"<TEI {NS}><?x {PROFILE}?>{BODY}</TEI>", False),
     (f"<TEI><teiHeader {NS}>{PROFILE}</teiHeader>{BODY}</TEI>", False),
-    (f"<profileDesc {NS}><abstract>root</abstract><textClass><keywords><term>r</term></keywords></textClass>{BODY}</profileDesc>", False),
+    (f"<profileDesc {NS}><abstract>root</abstract><textClass><keywords><term>r</term></keywords></textClass><textClass/>{BODY}</profileDesc>", False),
     (f"<TEI {NS} a='x>y'>{PROFILE}{BODY}</TEI>", True),
     (f"<TEI {NS}>{PROFILE}{BODY}</TEI> junk", True),
     (f"<TEI {NS}>{PROFILE}{BODY}<p></TEI>", True),
@@ -269,7 +269,7 @@ HELD = [
 ]
 
 
-@pytest.mark.parametrize("field", ["abstracts"])
+@pytest.mark.parametrize("field", ["abstracts", "terms"])
 def test_a_field_is_read_from_its_holder_as_from_the_whole_tree(field, monkeypatch):
     from pubmeta.operators import tei_parse
 
