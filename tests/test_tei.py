@@ -280,3 +280,90 @@ def test_a_field_is_read_from_its_holder_as_from_the_whole_tree(field, monkeypat
     monkeypatch.setattr(tei_parse, "_holders_only", lambda xml, fields: None)
     assert found == [tei_parse.parse_document(xml, (field,)) for xml, _ in HELD]
     assert found[0][field] and not found[2][field] and all("err" in x for x in found[-5:-1])
+
+
+AUTHORS = f"{person('A', aff('One'))} x {person('B')}"
+LISTED = "<text>" + "<listBibl><biblStruct><analytic><title>t</title></analytic></biblStruct></listBibl>" * 3 + "tail &lt;</text>"
+MONOGR = '<title level="j">J &amp; K</title><imprint><publisher>P</publisher><date when="2001"/><biblScope unit="page">3</biblScope></imprint>'
+STATED = "<titleStmt><title>Head <hi>of</hi> it</title></titleStmt><publicationStmt><publisher>Q</publisher><title>S</title></publicationStmt>"
+
+
+def whole(source, before="", after="", root=f"TEI {NS}"):
+    return f"<{root}>{before}<teiHeader><fileDesc>{STATED}<sourceDesc>{source}</sourceDesc></fileDesc>{PROFILE}</teiHeader>{LISTED}{after}</TEI>"
+
+
+def struct(analytic, monogr=MONOGR):
+    return f"<biblStruct><analytic>{analytic}</analytic><monogr>{monogr}</monogr><idno type='DOI'>10.1/a</idno></biblStruct>"
+
+
+HEADERS = [
+    # document, whether its header is plain to see
+    (whole(struct(f"<title level='a'>T</title>{AUTHORS}<title>U</title><idno>i</idno>")), True),
+    (whole(struct("<title level='a'>T</title>")), True),
+    (whole(struct("<author/>" + AUTHORS)), True),
+    (whole(struct(AUTHORS + "<list>" + AUTHORS + "</list><title>U</title>")), False),
+    (whole(struct(f"{AUTHORS}<title>U</title>{AUTHORS}")), True),
+    (whole(struct(AUTHORS, f"{AUTHORS}{MONOGR}")), True),
+    (whole(struct("<author><idno>o</idno><title>Dr</title><date/></author>")), True),
+    (whole(struct(f"{AUTHORS}</analytic><analytic>{AUTHORS}<title>second</title>")), True),
+    (whole(f"<x>{AUTHORS}</x>{struct('<title>T</title>')}"), False),
+    (whole(f"<title>by {AUTHORS}</title>{struct('<title>T</title>')}"), False),
+    (whole(struct(f"<title>by {AUTHORS}</title>")), False),
+    (whole(struct(f"<list>{AUTHORS}</list><list>{AUTHORS}</list><title>T</title>")), False),
+    (whole(struct(f"<list>{AUTHORS}</list>{AUTHORS}<title>T</title>")), False),
+    (whole(struct(f"{AUTHORS}<list>{AUTHORS}</list><title>T</title>")), False),
+    (whole(struct(AUTHORS), after=PROFILE + "<fileDesc><titleStmt><title>late</title></titleStmt></fileDesc>"), True),
+    (whole(struct(AUTHORS), before="<fileDesc/>"), False),
+    (whole(struct(AUTHORS), before="<fileDesc x='></fileDesc>'/>"), False),
+    (whole(struct(f"{AUTHORS}<!-- </author></fileDesc> --><title>T</title>")), False),
+    (whole(struct(f"{AUTHORS}<![CDATA[</fileDesc>]]><title>T</title>")), False),
+    (whole(struct(f"{AUTHORS}<?x </author> ?><title>T</title>")), False),
+    ("<?xml version='1.0'?>" + whole(struct(AUTHORS)), True),
+    (whole(struct(AUTHORS)).replace("<text>", "<text><!-- <fileDesc> --><![CDATA[<x>]]>"), True),
+    (f"<!DOCTYPE TEI [<!ENTITY e 'f'>]>{whole(struct(AUTHORS), after='&e;')}", False),
+    (whole(struct(AUTHORS), root="TEI"), False),
+    (whole(struct(AUTHORS)).replace("<fileDesc>", "<fileDesc><fileDesc><note/></fileDesc>"), False),
+    (whole(struct(AUTHORS)).replace("<fileDesc>", f"<fileDesc {NS}>").replace(f"<TEI {NS}>", "<TEI>"), True),
+    (f"<fileDesc {NS}><fileDesc>{STATED}</fileDesc></fileDesc>", True),
+    (whole(struct(AUTHORS))[:-20], False),
+    (whole(struct(AUTHORS), after="<p>"), False),
+    (whole(struct(AUTHORS), after="&no;"), False),
+    (whole(struct(AUTHORS)) + "junk", False),
+    (whole(struct(AUTHORS)).replace("<persName>", "<x:persName>").replace("</persName>", "</x:persName>"), False),
+    (f"<TEI {NS}>{LISTED}</TEI>", False),
+]
+
+
+@pytest.mark.parametrize(
+    "fields",
+    [
+        ("analytic_titles", "titlestmt_titles"),
+        ("monogr_titles", "pubstmt_titles", "sourcedesc_titles"),
+        ("idnos_analytic", "idnos_bibl", "all_text"),
+        ("pubstmt_publishers", "monogr_publishers", "all_text"),
+        ("dates", "scopes"),
+        ("authors",),
+        ("abstracts", "authors", "scopes"),
+        ("dates", "terms", "all_text"),
+    ],
+)
+def test_a_header_is_read_as_from_the_whole_tree(fields, monkeypatch):
+    from pubmeta.operators import tei_parse
+
+    trees = []
+    tree = tei_parse.ET.fromstring
+    monkeypatch.setattr(tei_parse.ET, "fromstring", lambda x: trees.append(x) or tree(x))
+    found = [tei_parse.parse_document(xml, fields) for xml, _ in HEADERS]
+    assert HEADERS[0][0] not in trees
+    if fields == ("analytic_titles", "titlestmt_titles"):
+        assert {xml for xml, plain in HEADERS if not plain} == set(trees)
+    monkeypatch.setattr(tei_parse, "_read_header", lambda xml, fields: None)
+    assert found == [tei_parse.parse_document(xml, fields) for xml, _ in HEADERS]
+
+
+def test_nothing_of_a_reference_or_unread_author_is_built():
+    from pubmeta.operators import tei_parse
+
+    root, text = tei_parse._read_header(HEADERS[0][0], ("analytic_titles", "titlestmt_titles"))
+    names = [x.tag.removeprefix(tei_parse.NS) for x in root.iter()]
+    assert text is None and names.count("biblStruct") == 1 and not {"persName", "affiliation", "listBibl"} & set(names)
