@@ -367,3 +367,31 @@ def test_nothing_of_a_reference_or_unread_author_is_built():
     root, text = tei_parse._read_header(HEADERS[0][0], ("analytic_titles", "titlestmt_titles"))
     names = [x.tag.removeprefix(tei_parse.NS) for x in root.iter()]
     assert text is None and names.count("biblStruct") == 1 and not {"persName", "affiliation", "listBibl"} & set(names)
+
+
+def test_an_odd_reference_is_listed_part_by_part():
+    from pubmeta.operators import tei_parse
+
+    author = (
+        "<author role='r'><note><email>in@x</email></note><persName><forename type='first'>A</forename><surname>B</surname>"
+        "<surname>no</surname></persName><persName>no</persName><email>no</email><affiliation>One <orgName>Org</orgName>"
+        "<address><country>C</country><postCode>1</postCode></address></affiliation></author>"
+    )
+    bibl = (
+        f"<biblStruct><note><title>no</title><idno type='DOI'>1</idno></note><analytic><title level='a'>T <hi>x</hi></title>{author}</analytic>"
+        "<analytic><title>no</title></analytic><monogr><title level='j'>J</title><imprint><title>no</title><publisher>P</publisher>"
+        "<date when='2001'/><biblScope unit='page' from='1' to='2'/></imprint><idno>2</idno></monogr><monogr><date>no</date></monogr></biblStruct>"
+    )
+    listed = tei_parse.parse_document(f"<TEI {NS}><listBibl>{bibl}</listBibl></TEI>", ("refs",))["refs"][0]
+    person = {"text": "ABno", "forenames": [{"type": "first", "text": "A"}], "surname": "B"}
+    aff = {"orgs": ["Org"], "addr": ["C"], "text": "One OrgC1"}
+    assert listed.pop("text") == "no1T xin@xABnononoOne OrgC1noJnoP2no"
+    assert listed == {
+        "analytic_titles": [{"level": "a", "text": "T x"}],
+        "authors": [{"role": "r", "corresp": None, "pers": person, "email": "in@x", "affs": [aff]}],
+        "monogr_titles": [{"level": "j", "text": "J"}],
+        "idnos": [{"type": "DOI", "text": "1"}, {"type": None, "text": "2"}],
+        "publishers": ["P"],
+        "dates": [{"when": "2001", "text": None}],
+        "scopes": [{"unit": "page", "text": None, "first": "1", "last": "2"}],
+    }
