@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from pubmeta.operators import events as E
 from pubmeta.operators import outbox as O
+from pubmeta.sources import keyed as keyed_tables
 from pubmeta.sources.keyed import KeyedTable, whole_table, write_keyed
 from pubmeta.sources.readers import stream_events
 from pubmeta.sources.sinks import latest_changes, topic_rows
-from pubmeta.sources.workspace import SETTING, workspace
+from pubmeta.sources.workspace import CLEANUP, SETTING, shuffles_dropped, workspace
 from pubmeta.streaming import jobs as S
 from pubmeta.streaming.state import PROVIDER_SETTING, ROCKSDB, skip_finished, use_keyed_state
 
@@ -296,3 +297,54 @@ def test_workspace_follows_the_session():
         workspace(FakeSession(None, "yarn"))
     made = workspace(FakeSession(None, "local[8]"))
     assert os.path.isdir(made) and workspace(FakeSession(None, "local[8]")) == made
+
+
+def test_a_large_work_list_does_not_shuffle_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed_tables, "NAMED_KEYS", 10)
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("id"), F.concat(F.lit("wide "), "id").alias("v"))
+    table = write_keyed(rows, str(tmp_path / "t"), "id", 4)
+    keys = spark.range(0, 9000, 2).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("k"))
+    want = sorted(tuple(r) for r in rows.where("id % 2 = 0 AND id % 7 > 0").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # below the size of the list, above that of the keys of a bucket
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        found = table.rows_for(keys, "k")
+        assert sorted(tuple(r) for r in found.collect()) == want and found.columns == ["id", "v"]
+        assert "SortMergeJoin" not in _scan(found) and "BroadcastHashJoin" in _scan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dealt_rows_are_written_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 5).select((F.col("id") % 700).alias("id"), F.col("id").alias("n"))
+    plain = write_keyed(rows, str(tmp_path / "a"), "id", 8)
+    dealt = write_keyed(rows, str(tmp_path / "b"), "id", 8, dealt=True)
+    keys = spark.createDataFrame([(7,), (699,), (None,), (9000,)], "id BIGINT")
+    for read in (lambda t: t.table(), lambda t: t.rows_for(keys)):
+        assert sorted(map(tuple, read(dealt).collect())) == sorted(map(tuple, read(plain).collect()))
+    files = [p.name for p in (tmp_path / "b").rglob("*.parquet")]
+    assert len(files) == 5 * 8 and all(".zstd." in f for f in files)
+
+
+def test_documents_by_bucket_are_the_documents(spark):
+    from pubmeta.plans.base import Source
+    from pubmeta.plans.tei_queries import tei_docs
+
+    s = Source(spark, "/root/testdata/sf0.001")
+    docs = tei_docs(s, 8)
+    lines = docs._jdf.queryExecution().executedPlan().toString().splitlines()
+    built = max(k for k, line in enumerate(lines) if "<TEI xmlns" in line)
+    assert built < min(k for k, line in enumerate(lines) if "Sort [_bucket" in line)
+    assert docs.where(F.col("_bucket") != keyed_tables.bucket_of(F.col("doc_id"), 8)).isEmpty()
+    plain = tei_docs(s)
+    assert docs.drop("_bucket").exceptAll(plain).isEmpty() and plain.exceptAll(docs.drop("_bucket")).isEmpty()
+
+
+def test_shuffles_go_with_their_statement(spark, tmp_path):
+    before = spark.conf.get(CLEANUP, None)
+    with pytest.raises(ZeroDivisionError), shuffles_dropped(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        spark.range(100).groupBy("id").count().write.parquet(str(tmp_path / "t"))
+        raise ZeroDivisionError
+    assert spark.conf.get(CLEANUP, None) == before and spark.read.parquet(str(tmp_path / "t")).count() == 100
